@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("same_look", "repeated_lines", "sentence_units", "wrong_encoding", "bpe_encode")
+MODULES = ("same_look", "repeated_lines", "scan_noise", "sentence_units", "wrong_encoding", "bpe_encode")
 
 
 def queries() -> dict:

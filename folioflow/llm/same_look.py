@@ -36,7 +36,7 @@ SALTS, BUCKETS = 8, 64
 
 # Characters without a look of their own, spaces, and letters that look like ASCII letters.
 IGNORABLE = "­​‌‍‎‏⁠⁡⁢⁣⁤﻿᠎͏؜‪‫‬‭‮⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯" + "".join(map(chr, range(0xFE00, 0xFE10)))
-SPACES = "\t\x0b\x0c\xa0          　 "
+SPACES = "\t\x0b\x0c\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 LETTERS = {
     "cyrillic": ("аеорсухіјѕһӏԁԛԝґАВЕКМНОРСТУХІЈЅԌԚԜЗҮ", "aeopcyxijshldqwrABEKMHOPCTYXIJSGQW3Y"),
     "greek": ("οανρυικτχγΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ", "oavpuiktxyABEZHIKMNOPTYXcj"),
