@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("same_look", "repeated_lines", "scan_noise", "sentence_units", "wrong_encoding", "broken_pairs", "bpe_encode")
+MODULES = ("same_look", "repeated_lines", "scan_noise", "sentence_units", "wrong_encoding", "broken_pairs", "bpe_encode", "fill_containers", "split_texts")
 
 
 def queries() -> dict:
