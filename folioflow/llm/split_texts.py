@@ -92,6 +92,20 @@ def last_boundary(text: str, low: int, high: int, levels: list[list[int]]) -> in
     return p if p > low else high
 
 
+def shared_start(text: str, end: int, overlap: int, ruler: TokenRuler, enc) -> int:
+    """Where the next piece starts so that the text it shares has the overlap's tokens, measured alone; if no place has just
+    so many, the nearest with more."""
+    more = None
+    for step in (0, 1, -1, 2, 3):
+        p = ruler.back(end, overlap + step)
+        n = len(enc.encode_ordinary(text[p:end]))
+        if n == overlap:
+            return p
+        if n > overlap and (more is None or p > more):
+            more = p
+    return more if more is not None else ruler.back(end, overlap)
+
+
 def split_text(text: str | None, limit: int, overlap: int, enc, widths: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of the pieces, in code points; nothing if the text is within the limit."""
     if not text or len(text.encode("utf-8", "surrogatepass")) <= limit:
@@ -123,8 +137,10 @@ def split_text(text: str | None, limit: int, overlap: int, enc, widths: np.ndarr
                 start = done
         out.append((start, end, n))
         done = end
-        start = max(ruler.back(end, overlap), out[-1][0] + 1) if overlap and end < len(text) else end
-        start = min(start, end)
+        start = end
+        if overlap and end < len(text):
+            start = max(shared_start(text, end, overlap, ruler, enc), out[-1][0] + 1)
+            start = min(start, end)
     return out
 
 
