@@ -26,13 +26,17 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.session import cut
 from folioflow.sources.tables import table
 
-SALTS, BUCKETS = 8, 64
+SALTS, BUCKETS, FLUSH = 8, 64, 300_000
+#: Stands in a form for a token that is looked up; private use, so no text in one consistent form needs it.
+MARK = "\ue010"
 
 # Characters without a look of their own, spaces, and letters that look like ASCII letters.
 IGNORABLE = "­​‌‍‎‏⁠⁡⁢⁣⁤﻿᠎͏؜‪‫‬‭‮⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯" + "".join(map(chr, range(0xFE00, 0xFE10)))
@@ -180,8 +184,6 @@ def _kin() -> dict[str, tuple[str, ...]]:
 
 # ---------------------------------------------------------------- DataFrame side
 
-_JAVA_ODD = r"[\x{80}-\x{10FFFF}]"
-
 
 def _bucket_key(token: Column) -> Column:
     """Bucket of a token: hash of the ASCII letters of its skeleton, equal for all look-alikes."""
@@ -202,50 +204,56 @@ _ODD_LETTERS = r"[\p{IsCyrillic}\p{IsGreek}]"
 
 def odd_text(text: Column) -> Column:
     """Whether a text may need more than single spaces and trimming."""
-    return text.rlike(_ODD_CHARS + "|" + _ODD_LETTERS)
+    return text.rlike(r"[^\x00-\x7f]") & text.rlike(_ODD_CHARS + "|" + _ODD_LETTERS)
 
 
 def plain_form(text: Column) -> Column:
     """The form of a text without odd characters: outer white space dropped, runs of spaces made one."""
+    loose = text.contains("  ") | text.contains(" \n") | text.contains("\n ") | text.rlike(r"[\t\x0b\x0c]") | text.rlike(r"^\s|\s$")
     t = F.regexp_replace(text, r"[ \t\x0b\x0c]*\n[ \t\x0b\x0c]*", "\n")
-    return F.regexp_replace(F.regexp_replace(t, r"[ \t\x0b\x0c]+", " "), r"^\s+|\s+$", "")
+    return F.when(~loose, text).otherwise(F.regexp_replace(F.regexp_replace(t, r"[ \t\x0b\x0c]+", " "), r"^\s+|\s+$", ""))
+
+
+_CLEAN_WORD = regex.compile("[A-Za-z\u00c0-\u024f\u1e00-\u1eff]+|[\u0400-\u052f]+|[\u0370-\u03ff\u1f00-\u1fff]+")
+
+
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """(word): the distinct cleanly written tokens of all texts, made distinct within each task before the shuffle."""
 
+    def run(batches):
+        seen: set[str] = set()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                seen.update(_CLEAN_WORD.findall(t))
+            if len(seen) > FLUSH:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
+                seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
 
-def vocabulary(rows: DataFrame) -> DataFrame:
-    """(word): the distinct cleanly written tokens of all texts."""
-    words = F.explode(F.split("text", r"[^\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{M}\x{ad}\x{200b}-\x{200f}\x{2060}-\x{2064}\x{feff}\x{fe00}-\x{fe0f}]+"))
-    clean = r"^(?:[A-Za-z\x{c0}-\x{24f}\x{1e00}-\x{1eff}]+|[\p{IsCyrillic}]+|[\p{IsGreek}]+)$"
-    return rows.select(words.alias("word")).distinct().where(F.col("word").rlike(clean))
+    return texts.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "word string").distinct()
 
 
-def _segments(texts: pd.Series) -> pd.DataFrame:
-    """Per text: `form` by character, with doubtful tokens replaced by a mark, and the tokens in order."""
-    forms, tokens = [], []
-    for t in texts:
-        t = by_character(t)
-        if not ODD.search(t):
-            forms.append(t)
-            tokens.append([])
-            continue
-        got: list[str] = []
+def segments(text: str) -> tuple[str, list[str]]:
+    """(form by character with a mark for each doubtful token, the doubtful tokens in order)."""
+    form = by_character(text)
+    if not ODD.search(form):
+        return form, []
+    got: list[str] = []
 
-        def put(m):
-            if in_doubt(m.group()):
-                got.append(m.group())
-                return ""
-            return m.group()
+    def put(m):
+        if in_doubt(m.group()):
+            got.append(m.group())
+            return MARK
+        return m.group()
 
-        forms.append(TOKEN.sub(put, t.replace("", " ")))
-        tokens.append(got)
-    return pd.DataFrame({"form": forms, "tokens": tokens})
+    return TOKEN.sub(put, form.replace(MARK, " ")), got
 
 
 def spellings(tokens: DataFrame, vocab: DataFrame, limit: int = 0, buckets: int = BUCKETS) -> DataFrame:
     """(token, spelling): the canonical spelling of each doubtful token, by trie or else by table."""
-    left = tokens.select("token").distinct().withColumn("key", _bucket_key(F.col("token")))
-    keys = left.select("key").distinct()
+    left = cut(tokens.select("token").distinct().withColumn("key", _bucket_key(F.col("token"))))
     # a class's spellings share the key, so only entries that some token could reach travel on
-    right = vocab.withColumn("key", _bucket_key(F.col("word"))).join(keys, "key", "left_semi")
+    right = vocab.withColumn("key", _bucket_key(F.col("word"))).join(left.select("key").distinct(), "key", "left_semi")
     left = left.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
     right = right.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
 
@@ -260,41 +268,47 @@ def spellings(tokens: DataFrame, vocab: DataFrame, limit: int = 0, buckets: int
     return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(walk, "token string, spelling string")
 
 
-def canonical_texts(rows: DataFrame, limit: int = 0, salts: int = SALTS) -> DataFrame:
-    """(row, text, form): each row's text in its one consistent form. `rows` has (row, text); null texts keep a null form."""
+def canonical_texts(rows: DataFrame, carry: list[str], limit: int = 0, salts: int = SALTS) -> DataFrame:
+    """(*carry, form): each row's text in its one consistent form. `rows` has (row, text, *carry); a null text has a null form."""
     odd = odd_text(F.col("text"))
-    plain = rows.where(F.col("text").isNull() | ~odd).select("row", "text", plain_form(F.col("text")).alias("form"))
-    seg = F.pandas_udf(_segments, "form string, tokens array<string>")
-    cut = rows.where(odd).withColumn("s", seg("text")).select("row", "text", "s.form", "s.tokens")
-    done = cut.where(F.size("tokens") == 0).select("row", "text", "form")
-    open_rows = cut.where(F.size("tokens") > 0)
-    flat = open_rows.select("row", F.posexplode("tokens").alias("pos", "token"))
-    names = spellings(flat, vocabulary(rows), limit)
-    named = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    plain = rows.where(F.col("text").isNull() | ~odd).select(*carry, plain_form(F.col("text")).alias("form"))
+
+    def run(batches):
+        for batch in batches:
+            got = [segments(t) for t in batch.column("text").to_pylist()]
+            kept = [batch.column(c) for c in carry]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.string()))], names=[*carry, "form", "tokens"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    segs = cut(rows.where(odd).select(*carry, "text").mapInArrow(run, f"{kinds}, form string, tokens array<string>"))
+    done = segs.where(F.size("tokens") == 0).select(*carry, "form")
+    open_rows = segs.where(F.size("tokens") > 0)
+    flat = open_rows.select("row", F.posexplode("tokens").alias("pos", "token")).distinct()
+    names = spellings(flat, vocabulary(rows), limit).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     got = (
-        flat.withColumn("salt", F.pmod(F.hash("row"), F.lit(salts))).join(named, ["token", "salt"])
-        .groupBy("row").agg(F.sort_array(F.collect_set(F.struct("pos", "spelling"))).alias("names"))
+        flat.withColumn("salt", F.pmod(F.hash("row"), F.lit(salts))).join(names, ["token", "salt"])
+        .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "spelling"))).alias("names"))
     )
-    parts = F.split("form", "")
+    parts = F.split("form", MARK)
     whole = F.array_join(F.zip_with(parts, F.transform("names", lambda x: x["spelling"]), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
-    filled = open_rows.join(got, "row").select("row", "text", whole.alias("form"))
+    filled = open_rows.join(got, "row").select(*carry, whole.alias("form"))
     return plain.unionByName(done).unionByName(filled)
 
 
-def look_pairs(forms: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(row_a, row_b): rows of one form and different texts, the smaller row first.
+def look_pairs(rows: DataFrame, salts: int = SALTS) -> DataFrame:
+    """(row_a, row_b): rows of one form and different texts, the smaller row first. `rows` has (row, text).
 
-    Rows are carried by hashes of form and text (96 bits each); the form's hash alone would join, the text's tells
-    copies apart. Forms whose rows all have one text are dropped before the join.
+    Rows are carried by hashes of form and text (96 bits each). Two texts that are their own forms differ in form, so one
+    row of every pair has a text that is not its form: only those are replicated over the salts.
     """
-    keyed = forms.where(F.length("form") > 0).select(
-        "row", F.xxhash64("form").alias("f1"), F.hash("form").alias("f2"), F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"))
-    varied = keyed.groupBy("f1", "f2").agg(F.min("t1").alias("a"), F.max("t1").alias("z")).where("a <> z").select("f1", "f2")
-    rows = keyed.join(varied, ["f1", "f2"], "left_semi").distinct()
-    left = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
-    right = rows.select("f1", "f2", F.col("row").alias("row_b"), F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")).alias("salt"))
-    hit = left.join(right, ["f1", "f2", "salt"]).where((F.col("row") < F.col("row_b")) & ((F.col("t1") != F.col("u1")) | (F.col("t2") != F.col("u2"))))
-    return hit.select(F.col("row").alias("row_a"), "row_b").distinct()
+    tagged = rows.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.hash("text"))
+    forms = canonical_texts(tagged, ["row", "t1", "t2"]).where(F.length("form") > 0)
+    keyed = cut(forms.select("row", "t1", "t2", F.xxhash64("form").alias("f1"), F.hash("form").alias("f2")))
+    changed = keyed.where((F.col("t1") != F.col("f1")) | (F.col("t2") != F.col("f2"))).distinct()
+    left = changed.select("f1", "f2", F.col("row").alias("one"), F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    right = keyed.withColumn("salt", F.pmod(F.hash("row"), F.lit(salts)))
+    hit = right.join(left, ["f1", "f2", "salt"]).where((F.col("t1") != F.col("u1")) | (F.col("t2") != F.col("u2")))
+    return hit.select(F.least("row", "one").alias("row_a"), F.greatest("row", "one").alias("row_b")).where("row_a <> row_b").distinct()
 
 
 def text_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -305,11 +319,11 @@ def text_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return look_pairs(canonical_texts(text_rows(spark, d)))
+    return look_pairs(text_rows(spark, d))
 
 
 def p1_forms(spark: SparkSession, d: str) -> DataFrame:
-    return canonical_texts(text_rows(spark, d)).select("row", "form").distinct()
+    return canonical_texts(text_rows(spark, d), ["row"]).distinct()
 
 
 QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms}
