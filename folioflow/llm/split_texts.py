@@ -35,14 +35,13 @@ SECTION = regex.compile(r"(?:\f\s*|\n[^\S\n]*\n\s*)(?=(?:#{1,6}\s|\\section|\d+(
 PARAGRAPH = regex.compile(r"\r?\n[^\S\n]*\r?\n\s*")
 LINE = regex.compile(r"\r\n?|[\n  ]")
 WORD = regex.compile(r"\s+")
-REACH = 4000
+NEAR, REACH = 350, 5600
 
 
 class TokenRuler:
     """Token offsets of a text by one tokenizer, in code points."""
 
-    def __init__(self, text: str, enc, widths: np.ndarray):
-        ids = enc.encode_ordinary(text)
+    def __init__(self, text: str, ids: list[int], widths: np.ndarray):
         self.n = len(ids)
         ends = np.concatenate([[0], np.cumsum(widths[ids])]) if ids else np.zeros(1, np.int64)
         if len(text) == ends[-1]:
@@ -62,6 +61,20 @@ class TokenRuler:
         stop = int(self.ends[min(first + tokens, self.n)])
         return stop if self.bytes_at is None else int(np.searchsorted(self.bytes_at, stop, "right")) - 1
 
+    def measure(self, text: str, start: int, end: int, enc) -> int:
+        """Tokens of text[start:end] measured alone. Between two seams they are those of the whole text, so only the edges are
+        encoded again."""
+        first = SEAM.search(text, start + 1, min(end, start + 120))
+        if first and end - start > 300:
+            last = None
+            for last in SEAM.finditer(text, max(first.end(), end - 120), end):  # noqa: B007
+                pass
+            if last:
+                a, z = first.start(), last.start()
+                inner = int(np.searchsorted(self.ends, self._byte(z))) - int(np.searchsorted(self.ends, self._byte(a)))
+                return len(enc.encode_ordinary(text[start:a])) + inner + len(enc.encode_ordinary(text[z:end]))
+        return len(enc.encode_ordinary(text[start:end]))
+
     def back(self, end: int, tokens: int) -> int:
         """The last code point from which to `end` there are at least so many tokens."""
         last = int(np.searchsorted(self.ends, self._byte(end), "left"))
@@ -69,23 +82,45 @@ class TokenRuler:
         return stop if self.bytes_at is None else int(np.searchsorted(self.bytes_at, stop, "right")) - 1
 
 
-def last_boundary(text: str, low: int, high: int, levels: list[list[int]]) -> int:
+#: A place at which pre-tokens part however a text goes on before and after: between a letter or digit and a space before a letter.
+SEAM = regex.compile(r"(?<=[\p{L}\p{N}]) (?=\p{L})")
+
+
+class Marks:
+    """The ends of sections, paragraphs and lines of a text, each level found when it is first asked for."""
+
+    def __init__(self, text: str):
+        self.text, self.found = text, {}
+
+    def last(self, level: int, low: int, high: int) -> int | None:
+        if level not in self.found:
+            self.found[level] = [m.end() for m in (SECTION, PARAGRAPH, LINE)[level].finditer(self.text)]
+        at = self.found[level]
+        i = bisect.bisect_right(at, high) - 1
+        return at[i] if i >= 0 and at[i] > low else None
+
+
+def last_boundary(text: str, low: int, high: int, marks: Marks) -> int:
     """The best end in (low, high]: the last boundary of the highest level there is."""
-    for marks in levels:
-        i = bisect.bisect_right(marks, high) - 1
-        if i >= 0 and marks[i] > low:
-            return marks[i]
-    a = max(low, high - REACH)
-    window = text[a : min(len(text), high + 80)]
-    got = [a + b for b in boundaries(window) if low < a + b <= high]
-    if got:
-        return got[-1]
-    last = 0
-    for m in WORD.finditer(text, low, min(len(text), high + 1)):
-        if low < m.end() <= high:
-            last = m.end()
-    if last:
-        return last
+    for level in range(3):
+        got = marks.last(level, low, high)
+        if got is not None:
+            return got
+    back = NEAR
+    while True:  # the last sentence ends near: look near first
+        a = max(low, high - back)
+        got = [a + b for b in boundaries(text[a : min(len(text), high + 80)]) if low < a + b <= high]
+        if got:
+            return got[-1]
+        if a == low or back >= REACH:
+            break
+        back *= 4
+    a = high
+    while a > low:
+        z, a = a, max(low, a - 200)
+        found = [m.end() for m in WORD.finditer(text, a, min(len(text), z + 1)) if low < m.end() <= high]
+        if found:
+            return found[-1]
     p = high
     while p > low + 1 and p < len(text) and (unicodedata.combining(text[p]) or text[p] in "‍️" or text[p - 1] == "‍"):
         p -= 1
@@ -106,15 +141,16 @@ def shared_start(text: str, end: int, overlap: int, ruler: TokenRuler, enc) -> i
     return more if more is not None else ruler.back(end, overlap)
 
 
-def split_text(text: str | None, limit: int, overlap: int, enc, widths: np.ndarray) -> list[tuple[int, int, int]]:
+def split_text(text: str | None, limit: int, overlap: int, enc, widths: np.ndarray, marks: Marks | None = None) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of the pieces, in code points; nothing if the text is within the limit."""
-    if not text or len(text.encode("utf-8", "surrogatepass")) <= limit:
+    if not text or (len(text) <= limit and len(text.encode("utf-8", "surrogatepass")) <= limit):
         return []
-    ruler = TokenRuler(text, enc, widths)
-    if ruler.n <= limit:
+    ids = enc.encode_ordinary(text)
+    if len(ids) <= limit:
         return []
+    ruler = TokenRuler(text, ids, widths)
     overlap = max(0, min(overlap, limit // 2))
-    levels = [[m.end() for m in p.finditer(text)] for p in (SECTION, PARAGRAPH, LINE)]
+    marks = marks or Marks(text)
     out: list[tuple[int, int, int]] = []
     start, done = 0, 0
     while done < len(text):
@@ -125,8 +161,8 @@ def split_text(text: str | None, limit: int, overlap: int, enc, widths: np.ndarr
                 end = len(text)
             else:
                 least = max(done, ruler.reach(start, int(budget * LEAST_FILL)))
-                end = last_boundary(text, min(least, high - 1), high, levels)
-            n = len(enc.encode_ordinary(text[start:end]))
+                end = last_boundary(text, min(least, high - 1), high, marks)
+            n = ruler.measure(text, start, end, enc)
             if n <= limit or (end <= done + 1 and start >= done):
                 break
             if budget > n - limit + 1:
@@ -157,9 +193,10 @@ def split_rows(df: DataFrame, key: str, text: str, wanted: list) -> DataFrame:
         for batch in batches:
             rows = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                marks = Marks(t)
                 for lid, name, cap, over in params:
                     was = 0
-                    for i, (a, b, n) in enumerate(split_text(t, cap, over, *tools[name])):
+                    for i, (a, b, n) in enumerate(split_text(t, cap, over, *tools[name], marks)):
                         rows.append((lid, k, i, a, b, n, was - a if i else 0, t[a:b]))
                         was = b
             cols = list(zip(*rows)) if rows else [()] * 8
