@@ -232,6 +232,8 @@ def fill(items: DataFrame, key: str, cap: int) -> DataFrame:
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     wanted = limits(spark, d, "FILL")
+    if not wanted:
+        return spark.createDataFrame([], "limit_id int, doc_id bigint, piece_no int, n_tokens int, container bigint")
     names = sorted({r.tokenizer for r in wanted})
     counts = cut(token_counts(table(spark, d, "documents"), "doc_id", "text", names))
     out = None
