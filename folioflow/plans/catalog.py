@@ -198,10 +198,10 @@ def text_hash(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", F.sha2(F.col("text"), 256).alias("hash"))
 
 
-@query("import_dedupe", r""", have AS (SELECT sha256, bool_and(isTrashed) AS tr FROM lib WHERE importedAt % 2 = 0 GROUP BY 1) SELECT DISTINCT l.sha256, CASE WHEN tr IS NULL THEN 'NEW' WHEN tr THEN 'RESTORE' ELSE 'DUPLICATE' END AS action FROM lib l LEFT JOIN have USING (sha256)""")
+@query("import_dedupe", r""", have AS (SELECT sha256, bool_and(isTrashed) AS tr FROM lib WHERE processedPages > 0 GROUP BY 1) SELECT DISTINCT l.sha256, CASE WHEN tr IS NULL THEN 'NEW' WHEN tr THEN 'RESTORE' ELSE 'DUPLICATE' END AS action FROM lib l LEFT JOIN have USING (sha256)""")
 def import_dedupe(s, d):
-    """What importing every file would do to a library that holds half of them."""
-    return LIB.imported(lib(s, d).where("importedAt % 2 = 0"), lib(s, d))
+    """What importing every file would do to a library of those that have been read."""
+    return LIB.imported(lib(s, d).where("processedPages > 0"), lib(s, d))
 
 
 @query("folder_lookup", "SELECT l.id, f.name AS folder FROM lib l LEFT JOIN folders f ON f.id = l.folderId")
@@ -286,30 +286,30 @@ def reviews_upsert(s, d):
 
 
 def _translations(s, d) -> DataFrame:
-    return rev(s, d).where("pageNumber % 3 = 0").select(
+    return rev(s, d).where("translatedText is not null").select(
         "sentenceId", F.col("parsedText").alias("sourceText"), "translatedText", F.lit(7).alias("promptTokens"), F.lit(1).alias("cacheHitTokens"), F.lit(2).alias("cacheMissTokens"),
         F.lit(3).alias("completionTokens"), F.lit("CNY").alias("costCurrency"), F.lit("0.01").alias("costAmount"), F.col("createdAt").alias("updatedAt"))
 
 
-@query("resolve_reviews", r""", acc AS (SELECT sentenceId FROM rev WHERE pageNumber % 2 = 0)
+@query("resolve_reviews", r""", acc AS (SELECT sentenceId FROM rev WHERE proposedText <> parsedText)
 SELECT s.id, CASE WHEN a.sentenceId IS NOT NULL THEN CASE WHEN r.proposedText = s.originalText THEN NULL ELSE r.proposedText END ELSE s.correctedText END AS correctedText
 FROM sen s LEFT JOIN acc a ON a.sentenceId = s.id LEFT JOIN rev r ON r.sentenceId = a.sentenceId""")
 def resolve_reviews(s, d):
     r = rev(s, d)
-    accept = r.select("sentenceId", (F.col("pageNumber") % 2 == 0).alias("accept"))
+    accept = r.select("sentenceId", F.coalesce(F.col("proposedText") != F.col("parsedText"), F.lit(False)).alias("accept"))
     return ST.resolve_reviews(r, accept, sen(s, d, "id", "originalText", "correctedText"), _translations(s, d), F.lit(0).cast("bigint"))[1].select("id", "correctedText")
 
 
-@query("resolve_translations", r""", tr AS (SELECT sentenceId, 7 AS p FROM rev WHERE pageNumber % 3 = 0)
+@query("resolve_translations", r""", tr AS (SELECT sentenceId, 7 AS p FROM rev WHERE translatedText IS NOT NULL)
 SELECT coalesce(a.sentenceId, t.sentenceId) AS sentenceId, coalesce(t.p, 0) AS promptTokens, CASE WHEN a.sentenceId IS NOT NULL THEN CASE WHEN t.p IS NULL THEN '0' ELSE '0.01' END ELSE '0.01' END AS costAmount
-FROM (SELECT sentenceId FROM rev WHERE pageNumber % 2 = 0) a FULL JOIN tr t ON a.sentenceId = t.sentenceId""")
+FROM (SELECT sentenceId FROM rev WHERE proposedText <> parsedText) a FULL JOIN tr t ON a.sentenceId = t.sentenceId""")
 def resolve_translations(s, d):
     r = rev(s, d)
-    accept = r.select("sentenceId", (F.col("pageNumber") % 2 == 0).alias("accept"))
+    accept = r.select("sentenceId", F.coalesce(F.col("proposedText") != F.col("parsedText"), F.lit(False)).alias("accept"))
     return ST.resolve_reviews(r, accept, sen(s, d, "id", "originalText", "correctedText"), _translations(s, d), F.lit(0).cast("bigint"))[2].select("sentenceId", "promptTokens", "costAmount")
 
 
-@query("cached_translation", r"SELECT t.id, (r.sentenceId IS NOT NULL AND r.parsedText = t.text) AS cached FROM disp t LEFT JOIN rev r ON r.sentenceId = t.id AND r.pageNumber % 3 = 0")
+@query("cached_translation", r"SELECT t.id, (r.sentenceId IS NOT NULL AND r.parsedText = t.text) AS cached FROM disp t LEFT JOIN rev r ON r.sentenceId = t.id AND r.translatedText IS NOT NULL")
 def cached_translation(s, d):
     """Whether a sentence's stored translation still belongs to its present text."""
     t = _translations(s, d).select(F.col("sentenceId").alias("id"), "sourceText")
@@ -372,25 +372,23 @@ def display_text(s, d):
     return disp(s, d).select("id", X.display_text(F.col("correctedText"), F.col("originalText")).alias("text"))
 
 
-@query("correction_norm", r"""SELECT sentenceId, CASE WHEN regexp_replace(proposedText, '^\s+|\s+$', '', 'g') = '' OR regexp_replace(proposedText, '^\s+|\s+$', '', 'g') = parsedText THEN NULL ELSE regexp_replace(proposedText, '^\s+|\s+$', '', 'g') END AS correction
-FROM rev WHERE regexp_matches(coalesce(proposedText, ''), '^[\x20-\x7e]*$')""")
+_WS = r"[ \t\n\x0b\f\r]"
+
+
+@query("correction_norm", rf""", c AS (SELECT sentenceId, parsedText, regexp_replace(proposedText, '^{_WS}+|{_WS}+$', '', 'g') AS t FROM rev) SELECT sentenceId, CASE WHEN t = '' OR t = parsedText THEN NULL ELSE t END AS correction FROM c""")
 def correction_norm(s, d):
-    """Over printable ASCII answers, where both engines agree on white space."""
-    r = rev(s, d).where(F.coalesce("proposedText", F.lit("")).rlike(r"^[\x20-\x7e]*$"))
-    return r.select("sentenceId", X.correction_or_null(F.col("proposedText"), F.col("parsedText")).alias("correction"))
+    return rev(s, d).select("sentenceId", X.correction_or_null(F.col("proposedText"), F.col("parsedText")).alias("correction"))
 
 
-@query("normalize_ws", r"SELECT id, trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) AS text FROM disp WHERE regexp_matches(text, '^[\x09\x0a\x20-\x7e]*$')")
+@query("normalize_ws", rf"""SELECT id, regexp_replace(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g'), '{_WS}+', ' ', 'g') AS text FROM disp""")
 def normalize_ws(s, d):
-    t = X.display_text(F.col("correctedText"), F.col("originalText"))
-    return disp(s, d).where(t.rlike(r"^[\x09\x0a\x20-\x7e]*$")).select("id", X.squeeze(t).alias("text"))
+    return disp(s, d).select("id", X.squeeze(X.display_text(F.col("correctedText"), F.col("originalText"))).alias("text"))
 
 
-@query("readable_ratio", r"""SELECT id, round(CASE WHEN regexp_matches(originalText, '[A-Za-z0-9]') THEN length(regexp_replace(originalText, '[^A-Za-z0-9\s.,;:!?()\[\]{}''"\-/+*=<>%&@#_\\]', '', 'g')) / greatest(length(originalText), 1)::DOUBLE ELSE 0 END, 6) AS share
-FROM sen WHERE regexp_matches(originalText, '^[\x0a\x20-\x7e]*$')""")
+@query("readable_ratio", rf"""SELECT id, round(CASE WHEN regexp_matches(originalText, '[\pL\p{{Nd}}]') THEN length(regexp_replace(originalText, '[^\pL\p{{Nd}} \t\n\x0b\f\r.,;:!?()\[\]{{}}''"\-/+*=<>%&@#_\\]', '', 'g')) / greatest(length(originalText), 1)::DOUBLE ELSE 0 END, 6) AS share
+FROM sen WHERE originalText IS NOT NULL""")
 def readable_ratio(s, d):
-    t = sen(s, d, "id", "originalText").where(F.col("originalText").rlike(r"^[\x0a\x20-\x7e]*$"))
-    return t.select("id", F.round(X.readable_share(F.col("originalText")), 6).alias("share"))
+    return sen(s, d, "id", "originalText").where("originalText is not null").select("id", F.round(X.readable_share(F.col("originalText")), 6).alias("share"))
 
 
 @query("uuid3_ids", r"""SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-' || substr('89ab', 1 + (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid
@@ -408,13 +406,10 @@ def cp_hash(s, d):
     return t.select("id", total(31).alias("h31"), total(43).alias("h43"))
 
 
-@query("accept_correction", r"""SELECT sentenceId, CASE WHEN c <> '' AND c <> s AND levenshtein(s, c) <= greatest(CAST(floor(CAST(greatest(length(s), length(c), 1) AS FLOAT) * CAST(0.25 AS FLOAT)) AS INTEGER), 1)
- AND regexp_extract_all(c, '(?s)\\\[.*?\\\]|\$[^$]+\$') = regexp_extract_all(s, '(?s)\\\[.*?\\\]|\$[^$]+\$') THEN c END AS accepted
-FROM (SELECT sentenceId, parsedText AS s, trim(proposedText) AS c FROM rev WHERE regexp_matches(proposedText, '^[\x20-\x7e]*$') AND regexp_matches(parsedText, '^[\x20-\x7e]*$'))""")
+@query("accept_correction", None)
 def accept_correction(s, d):
-    ascii_ = r"^[\x20-\x7e]*$"
-    r = rev(s, d).where(F.col("proposedText").rlike(ascii_) & F.col("parsedText").rlike(ascii_))
-    return r.select("sentenceId", X.accepted_correction(F.col("parsedText"), F.col("proposedText"), F.lit(0.25)).alias("accepted"))
+    """No SQL: the other engine's edit distance counts bytes."""
+    return rev(s, d).select("sentenceId", X.accepted_correction(F.col("parsedText"), F.col("proposedText"), F.lit(0.25)).alias("accepted"))
 
 
 @query("span_parse", r"""SELECT id, len(regexp_extract_all(originalText, '(?s)\\\[.*?\\\]')) AS formulas FROM sen WHERE originalText IS NOT NULL""")
@@ -668,7 +663,7 @@ def stroke_pressure(s, d):
 
 
 def sentence_blocks(s, d) -> DataFrame:
-    """Each sentence row as a paragraph of one page, its lines as lines: the shared volume is left to the streaming form."""
+    """Each sentence row as a paragraph of its page, its lines as lines."""
     lines = F.transform(F.split("originalText", "\n"), lambda t, i: F.struct(
         t.alias("text"), F.lit(0.1).alias("left"), (i * 0.03).alias("top"), F.lit(0.9).alias("right"), (i * 0.03 + 0.03).alias("bottom"), F.lit(0.9).alias("confidence"), t.rlike(r"^\\\[.*\\\]$").alias("isFormula")))
     x = sen(s, d, "documentId", "pageNumber", "position", "originalText").where("originalText is not null")
@@ -678,5 +673,5 @@ def sentence_blocks(s, d) -> DataFrame:
 
 @query("sentence_stream", None)
 def sentence_stream(s, d):
-    """Sentences of all documents but those in one file too long for one task (the running volume), found again from their blocks."""
-    return segment_documents(sentence_blocks(s, d).where("documentId <> 'd000000000'")).select("documentId", "firstPage", "position", "text", "role", F.size("regions").alias("regions"))
+    """Sentences of all documents, found again from their blocks."""
+    return segment_documents(sentence_blocks(s, d)).select("documentId", "firstPage", "position", "text", "role", F.size("regions").alias("regions"))
