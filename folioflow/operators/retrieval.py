@@ -8,8 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import display_text, keywords, page_line, tokens, utf16_length
+from folioflow.session import cut
 
 MAX_SENTENCES, MAX_CHARACTERS, CHUNK = 16, 9000, 4096
+WALK = ["documentId", "chunk", "enter", "leave", "starts", "ends"]
 
 
 def ordinals(sentences: DataFrame) -> DataFrame:
@@ -67,9 +69,7 @@ def greedy_batches(sentences: DataFrame, max_rows: int = MAX_SENTENCES, max_char
     here = s.withColumn("chunk", F.floor(F.col("ord") / chunk))
     ahead = s.where((F.col("ord") >= chunk) & (F.col("ord") % chunk < max_rows)).withColumn("chunk", F.floor(F.col("ord") / chunk) - 1)
 
-    def walk(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("ord")
-        base, sizes, doc, ch = int(p["ord"].iloc[0]), p["size"].tolist(), p["documentId"].iloc[0], int(p["chunk"].iloc[0])
+    def walk(doc: str, ch: int, base: int, sizes: list[int]) -> list[tuple]:
         stop = min(chunk, len(sizes))
         out = []
         for enter in range(min(max_rows if ch else 1, stop)):
@@ -83,20 +83,51 @@ def greedy_batches(sentences: DataFrame, max_rows: int = MAX_SENTENCES, max_char
                 ends.append(base + j)
                 i = j
             out.append((doc, ch, enter, i - chunk, starts, ends))
-        return pd.DataFrame(out, columns=["documentId", "chunk", "enter", "leave", "starts", "ends"])
-
-    walked = here.unionByName(ahead).groupBy("documentId", "chunk").applyInPandas(
-        walk, "documentId string, chunk bigint, enter int, leave int, starts array<bigint>, ends array<bigint>")
-
-    def chain(p: pd.DataFrame) -> pd.DataFrame:
-        step = {(c, e): n for c, e, n in zip(p["chunk"], p["enter"], p["leave"])}
-        at, out = 0, []
-        for c in range(int(p["chunk"].max()) + 1):
-            out.append((p["documentId"].iloc[0], c, at))
-            at = max(0, step.get((c, at), 0))
-        return pd.DataFrame(out, columns=["documentId", "chunk", "enter"])
+        return out
+
+    def walks(batches):
+        """Chunks come sorted; a task holds the rows of one."""
+        key, base, sizes = None, 0, []
+        for p in batches:
+            out = []
+            for doc, ch, o, n in zip(p["documentId"], p["chunk"], p["ord"], p["size"]):
+                if (doc, ch) != key:
+                    if key:
+                        out += walk(*key, base, sizes)
+                    key, base, sizes = (doc, ch), o, []
+                sizes.append(n)
+            yield pd.DataFrame(out, columns=WALK)
+        yield pd.DataFrame(walk(*key, base, sizes) if key else [], columns=WALK)
+
+    rows = here.unionByName(ahead).repartition("documentId", "chunk").sortWithinPartitions("documentId", "chunk", "ord")
+    walked = cut(rows.mapInPandas(walks, "documentId string, chunk bigint, enter int, leave int, starts array<bigint>, ends array<bigint>"))
+
+    def chain(batches):
+        """For each document, in chunk order, where its walk enters each chunk."""
+        key, at, step = None, 0, {}
+
+        def close(out):
+            nonlocal at
+            if key:
+                out.append((*key, at))
+                at = max(0, step.get(at, 0))
+
+        for p in batches:
+            out: list[tuple] = []
+            for doc, ch, e, n in zip(p["documentId"], p["chunk"], p["enter"], p["leave"]):
+                if (doc, ch) != key:
+                    close(out)
+                    if not key or key[0] != doc:
+                        at = 0
+                    key, step = (doc, ch), {}
+                step[e] = n
+            yield pd.DataFrame(out, columns=["documentId", "chunk", "enter"])
+        out = []
+        close(out)
+        yield pd.DataFrame(out, columns=["documentId", "chunk", "enter"])
 
-    right = walked.select("documentId", "chunk", "enter", "leave").groupBy("documentId").applyInPandas(chain, "documentId string, chunk bigint, enter int")
+    links = walked.select("documentId", "chunk", "enter", "leave").repartition("documentId").sortWithinPartitions("documentId", "chunk", "enter")
+    right = links.mapInPandas(chain, "documentId string, chunk bigint, enter int")
     kept = walked.join(right, ["documentId", "chunk", "enter"], "left_semi")
     return kept.select("documentId", F.explode(F.arrays_zip("starts", "ends")).alias("b")).select("documentId", F.col("b.starts").alias("start"), F.col("b.ends").alias("end"))
 
