@@ -126,7 +126,8 @@ def table_form(token: str) -> str:
             a, b = LETTERS[alphabet]
             looks = look_table()
             back = {y: x for x, y in zip(a, b) if looks.get(x) == y}
-            return "".join(back.get(c, c) for c in flat)
+            if all(c in back or not c.isascii() or not c.isalpha() for c in flat):
+                return "".join(back.get(c, c) for c in flat)
     return flat
 
 

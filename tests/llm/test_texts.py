@@ -100,14 +100,14 @@ def test_repeated_lines_by_brute_force(spark, tables):
 
 @pytest.fixture(scope="module")
 def lexicon():
-    words = "the model reads calibrated reservoir open point so far memory system works real each sample needs labels before pruning and post pre training modern corner".split()
+    words = "the model reads calibrated reservoir open point so far memory system works real each sample needs labels before pruning and post pre training modern corner l’indice co-training".split()
     return SN.Lexicon({w: 1000 for w in words} | {"Each": 500, "The": 900, "rcal": 5}, {("the", "model"): 50, ("open", "point"): 50})
 
 
 @pytest.mark.parametrize("text, want", [
     ("The mem-\nory system works", "The memory system works"), ("The mem- ory system works", "The memory system works"), ("the cali6rated reservo!r — an operi point", "the calibrated reservoir — an open point"),
     ("Eacb samp1e needs labe1s", "Each sample needs labels"), ("the model\n- 326 -\nreads far", "the model reads far"), ("the model\n12 | Some Title Here\nreads", "the model reads"), ("the rea¬\nl model", "the real model"),
-    ("is it rcal", "is it real"), ("the modern corner", None), ("pre- and post-training", None), ("SAMP1E NEEDS", None), ("H2O 3D 1.5 mоdel", None), ("Bokudebu and Kaletibu", None), ("the model\n\\[x_1\\]\nreads", None), ("", None), ("the model\nreads far", None),
+    ("is it rcal", "is it real"), ("the cahbrated model", "the calibrated model"), ("l’indi- ce", "l’indice"), ("co-train- ing works", "co-training works"), ("(cf. real)", None), ("the modern corner", None), ("pre- and post-training", None), ("SAMP1E NEEDS", None), ("H2O 3D 1.5 mоdel", None), ("Bokudebu and Kaletibu", None), ("the model\n\\[x_1\\]\nreads", None), ("", None), ("the model\nreads far", None),
 ])
 def test_noise_is_found_and_repaired(lexicon, text, want):
     noisy, out, _ = SN.examine(text, lexicon)
@@ -118,7 +118,7 @@ def test_noise_is_found_and_repaired(lexicon, text, want):
 
 def test_frequent_misreadings_are_no_words(lexicon):
     assert "rcal" not in lexicon.words and lexicon.best("rcal") == "real"
-    assert SN.misread_cost("modern", "modem") > SN.ACCEPT and SN.misread_cost("model", "rnodel") == pytest.approx(0.3)
+    assert SN.misread_cost("model", "motel") > SN.ACCEPT and SN.misread_cost("model", "rnodel") == pytest.approx(0.3)
 
 
 def test_running_heads_are_titles_of_the_library(spark, tables):
