@@ -33,6 +33,16 @@ def distinct_names(names: DataFrame, by: list[str] | None = None) -> DataFrame:
     return one.select(*(by or []), F.col("x.name").alias("name"), name_uuid(F.col("key")).alias("id"))
 
 
+def tagged(documents: DataFrame, names: list[str]) -> DataFrame:
+    """(documentId, name, id): each of a given list of tags on each document; names that differ only in letter case count once."""
+    first: dict[str, str] = {}
+    for n in names:
+        if n.strip():
+            first.setdefault(n.strip().lower(), n.strip())
+    tags = F.array(*map(F.lit, first.values())) if first else F.array().cast("array<string>")
+    return documents.select("documentId", F.explode(tags).alias("name")).withColumn("id", name_uuid(F.lower("name")))
+
+
 def imported(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """(sha256, action): what an import of each incoming file does: NEW, RESTORE of a trashed copy, or DUPLICATE, an error."""
     have = existing.groupBy("sha256").agg(F.bool_and("isTrashed").alias("trashed"))

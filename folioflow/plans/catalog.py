@@ -347,9 +347,8 @@ def distinct_tags_ci(s, d):
 @query("bulk_tag", r", g AS (SELECT unnest(['Alpha', 'beta']) AS tag) SELECT l.id AS documentId, lower(g.tag) AS tag FROM (SELECT DISTINCT id FROM lib WHERE folderId IS NOT NULL) l, g")
 def bulk_tag(s, d):
     """Each of a fixed list of tags on each of many documents."""
-    names = LIB.distinct_names(s.createDataFrame([("Alpha", 0), ("beta", 1), ("ALPHA", 2)], "name string, ord int"))
     docs = lib(s, d).where("folderId is not null").select(F.col("id").alias("documentId")).distinct()
-    return docs.join(F.broadcast(names), how="cross").select("documentId", F.lower("name").alias("tag"))
+    return LIB.tagged(docs, ["Alpha", "beta", "ALPHA"]).select("documentId", F.lower("name").alias("tag"))
 
 
 @query("settings_typed", r"SELECT user_id, greatest(20, least(60, max(try_cast(json_extract_string(props, '$.k') AS INTEGER)))) AS k FROM events GROUP BY user_id")
