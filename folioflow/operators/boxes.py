@@ -132,3 +132,15 @@ def hit(regions: DataFrame, points: DataFrame, by: list[str], radius: float, wid
     d = G.point_distance2(box(), F.col("x"), F.col("y"), width, height)
     near = j.withColumn("_d", d).groupBy("point", "sentence", "ord").agg(F.min("_d").alias("d"), F.min(G.area(box())).alias("a")).where(F.col("d") <= radius * radius)
     return near.groupBy("point").agg(F.min(F.struct("d", "a", "ord", "sentence")).alias("m")).select("point", F.col("m.sentence").alias("sentence"))
+
+
+def front_roles(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """First pages' blocks with paragraphs before the title as HEADER and those between title and abstract as AUTHOR; pages
+    without both stay as they are."""
+    w = W.partitionBy(*by)
+    t = F.min(F.when(F.col("type") == "DOCUMENT_TITLE", F.col("ord"))).over(w)
+    b = blocks.withColumn("_t", t)
+    b = b.withColumn("_a", F.min(F.when((F.col("type") == "ABSTRACT") & (F.col("ord") > F.col("_t")), F.col("ord"))).over(w))
+    para = (F.col("type") == "PARAGRAPH") & F.col("_a").isNotNull()
+    kind = F.when(para & (F.col("ord") < F.col("_t")), "HEADER").when(para & (F.col("ord") > F.col("_t")) & (F.col("ord") < F.col("_a")), "AUTHOR").otherwise(F.col("type"))
+    return b.withColumn("type", kind).drop("_t", "_a")

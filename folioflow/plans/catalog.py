@@ -674,3 +674,55 @@ def sentence_blocks(s, d) -> DataFrame:
 def sentence_stream(s, d):
     """Sentences of all documents, found again from their blocks."""
     return segment_documents(sentence_blocks(s, d)).select("documentId", "firstPage", "position", "text", "role", F.size("regions").alias("regions"))
+
+
+# ---------------------------------------------------------------- pages
+
+
+def observed_pages(s, d) -> DataFrame:
+    """Boxes as regions, points as one-letter lines of both sources, and the boxes of one class as formulas too."""
+    none = F.array().cast("array<struct<text:string,left:double,top:double,right:double,bottom:double,confidence:double>>")
+    region = F.struct((F.col("class") * 2).cast("int").alias("class"), "score", F.col("ord").cast("int").alias("readingOrder"), *B.BOX, F.lit(None).cast("binary").alias("mask"))
+    formula = F.when(F.col("class") == 5, F.struct(F.lit("INLINE").alias("type"), F.lit(r"\[x\]").alias("latex"), F.col("score").alias("confidence"), *B.BOX))
+    regions = box_rows(s, d).groupBy("page").agg(F.sort_array(F.collect_list(F.struct("ord", region.alias("r")))).alias("r"), F.collect_list(formula).alias("formulas"))
+    line = F.struct(F.lit("word").alias("text"), F.col("x").alias("left"), F.col("y").alias("top"), (F.col("x") + 0.05).alias("right"), (F.col("y") + 0.02).alias("bottom"), F.lit(0.9).alias("confidence"), none.alias("glyphs"), F.lit(False).alias("isFormula"))
+    lines = point_rows(s, d).groupBy("page").agg(F.transform(F.sort_array(F.collect_list(F.struct("point", line.alias("l")))), lambda x: x["l"]).alias("native"))
+    return regions.join(lines, "page").select(
+        F.col("page").cast("string").alias("documentId"), F.lit(0).alias("pageNumber"), F.transform("r", lambda x: x["r"]).alias("regions"), "native", F.col("native").alias("ocr"), "formulas")
+
+
+@query("page_parse", None)
+def page_parse(s, d):
+    from folioflow.operators.page_parse import parse_pages
+
+    return parse_pages(observed_pages(s, d)).select("documentId", "position", "type", "layoutLabel", F.size("lines").alias("lines"))
+
+
+@query("text_layers", r"SELECT documentId, pageNumber, count(*) AS lines FROM disp WHERE text IS NOT NULL GROUP BY 1, 2")
+def text_layers(s, d):
+    """Each page's sentences written as a text layer and read back."""
+    t = X.display_text(F.col("correctedText"), F.col("originalText"))
+    cell = F.struct(t.alias("text"), F.lit(0.0).alias("left"), F.col("position").cast("double").alias("top"), F.lit(9.0).alias("right"), (F.col("position") + 1.0).alias("bottom"))
+    page = F.struct(F.lit(100.0).alias("width"), F.lit(100.0).alias("height"), F.collect_list(cell).alias("lines"), F.array().cast("array<struct<text:string>>").alias("words"))
+    layers = disp(s, d).where(t.isNotNull()).groupBy("documentId", F.col("pageNumber").alias("p")).agg(F.to_json(F.struct(F.array(page).alias("pages"))).alias("json"))
+    return EV.text_layer_pages(layers).select("documentId", F.col("p").alias("pageNumber"), F.size("lines").cast("bigint").alias("lines"))
+
+
+@query("light_pages", r""", px AS (SELECT page, CAST(floor(255 * (1 - abs(v[1]))) AS INTEGER) AS r, CAST(floor(255 * (1 - abs(v[2]))) AS INTEGER) AS g, CAST(floor(255 * (1 - abs(v[3]))) AS INTEGER) AS b FROM e)
+SELECT page, (count(*) FILTER (WHERE (r * 299 + g * 587 + b * 114) // 1000 >= 205) * 100 >= count(*) * 55 AND count(*) FILTER (WHERE greatest(r, g, b) - least(r, g, b) <= 28) * 100 >= count(*) * 78) AS light FROM px GROUP BY page""")
+def light_pages(s, d):
+    c = lambda k: F.floor(255 * (1 - F.abs(k))).cast("int")
+    return EV.light_paper(emb(s, d).select("page", c("v1").alias("r"), c("v2").alias("g"), c("v3").alias("b")), ["page"])
+
+
+@query("vocabulary_rows", r"SELECT lower(trim(title)) AS id, min(doc_id) AS first, count(*) AS n FROM documents WHERE trim(title) <> '' GROUP BY 1")
+def vocabulary_rows(s, d):
+    t = table(s, d, "documents").where("trim(title) <> ''")
+    words = t.select("doc_id", *LIB.vocabulary_row(F.col("title"), F.lit(""), F.lit(None).cast("string"), F.lit(0)))
+    return words.groupBy("id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+
+
+@query("front_matter", r""", h AS (SELECT page, min(ord) FILTER (WHERE class = 1) AS title FROM box GROUP BY page), a AS (SELECT h.page, h.title, min(b.ord) AS abstract FROM h JOIN box b ON b.page = h.page AND b.class = 2 AND b.ord > h.title GROUP BY 1, 2)
+SELECT b.page, b.ord, CASE WHEN b.class NOT IN (1, 2) AND b.ord < a.title THEN 'HEADER' WHEN b.class NOT IN (1, 2) AND b.ord > a.title AND b.ord < a.abstract THEN 'AUTHOR' WHEN b.class = 1 THEN 'DOCUMENT_TITLE' WHEN b.class = 2 THEN 'ABSTRACT' ELSE 'PARAGRAPH' END AS type FROM box b LEFT JOIN a USING (page)""")
+def front_matter(s, d):
+    return B.front_roles(box_rows(s, d).withColumn("type", F.when(F.col("class") == 1, "DOCUMENT_TITLE").when(F.col("class") == 2, "ABSTRACT").otherwise("PARAGRAPH")), ["page"]).select("page", "ord", "type")
