@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +15,7 @@ from folioflow.functions.text import display_text, keywords, page_line, tokens,
 from folioflow.session import cut
 
 MAX_SENTENCES, MAX_CHARACTERS, CHUNK = 16, 9000, 4096
+BLOCK, SMALL, RELATED = 8192, 256, 3
 WALK = ["documentId", "chunk", "enter", "leave", "starts", "ends"]
 
 
@@ -26,27 +31,92 @@ def ordinals(sentences: DataFrame) -> DataFrame:
     return sentences.withColumn("_r", r).join(before, ["documentId", "pageNumber"]).withColumn("ord", F.col("_r") - 1 + F.col("_b")).drop("_r", "_b")
 
 
+class _Block:
+    """A stretch of a document's sentences by word; a word stands once for each of its occurrences."""
+
+    def __init__(self, first: int):
+        self.first, self.n, self.posts, self.arrays = first, 0, {}, {}
+
+    def add(self, words: list[str]) -> None:
+        for w in words:
+            self.posts.setdefault(w, []).append(self.n)
+        self.n += 1
+
+    def best(self, words: list[str], at: int) -> list[tuple[int, int]]:
+        """(ordinal, hits) of the sentences with most occurrences of the words, without the neighbours of `at`."""
+        found = [w for w in words if w in self.posts]
+        if not found:
+            return []
+        at -= self.first
+        if self.n <= SMALL:
+            hits = Counter(i for w in found for i in self.posts[w] if abs(i - at) > 2)
+            return [(self.first + i, c) for i, c in sorted(hits.items(), key=lambda x: (-x[1], x[0]))[:RELATED]]
+        for w in found:
+            if w not in self.arrays:
+                self.arrays[w] = np.array(self.posts[w], np.int32)
+        h = np.bincount(np.concatenate([self.arrays[w] for w in found]), minlength=self.n)
+        h[max(0, at - 2) : max(0, at + 3)] = 0
+        out = []
+        for _ in range(RELATED):
+            i = int(h.argmax())
+            if not h[i]:
+                break
+            out.append((self.first + i, int(h[i])))
+            h[i] = 0
+        return out
+
+
+def related(sentences: DataFrame, want: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(sentenceId, documentId, ord, rank): the sentences of its document with most occurrences of a wanted sentence's keywords.
+
+    A document is cut into blocks of ordinals and each request goes to every block of its document; the best of the blocks
+    are ranked. The work in a document grows with its sentences times its requests, but no pair of them becomes a row, and
+    no task holds more than a block of sentences.
+    """
+    asked = want.groupBy("documentId").agg(F.count("*").alias("_n")).select("documentId")
+    words = F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))
+    s = sentences.join(asked, "documentId", "left_semi").select(
+        "documentId", F.floor(F.col("ord") / block).alias("block"), F.lit(0).alias("kind"), F.col("ord").cast("bigint").alias("ord"), F.lit(None).cast("string").alias("sentenceId"), words.alias("words"))
+    last = s.groupBy("documentId").agg(F.max("block").alias("_last"))
+    r = want.select("documentId", F.col("ord").cast("bigint").alias("ord"), F.col("id").alias("sentenceId"), keywords(F.col("text")).alias("words")).where(F.size("words") > 0)
+    r = r.join(last, "documentId").select("documentId", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("block"), F.lit(1).alias("kind"), "ord", "sentenceId", "words")
+
+    def run(batches):
+        """Blocks come sorted, each with its sentences before its requests."""
+        key, b = None, None
+        for p in batches:
+            got = []
+            for doc, k, kind, o, sid, ws in zip(*(p.column(i).to_pylist() for i in range(6))):
+                if (doc, k) != key:
+                    key, b = (doc, k), _Block(o)
+                if kind == 0:
+                    b.add(ws)
+                else:
+                    got += [(sid, doc, i, h) for i, h in b.best(ws, o)]
+            cols = list(zip(*got)) or [[]] * 4
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["sentenceId", "documentId", "ord", "hits"])
+
+    rows = s.unionByName(r).repartition("documentId", "block").sortWithinPartitions("documentId", "block", "kind", "ord")
+    best = rows.mapInArrow(run, "sentenceId string, documentId string, ord bigint, hits bigint")
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("sentenceId").orderBy(F.desc("hits"), "ord"))).where(F.col("rank") <= RELATED).drop("hits")
+
+
 def context_of(sentences: DataFrame, requests: DataFrame) -> DataFrame:
     """(sentenceId, context): for each requested sentence the two before it, itself, the two after it, then the three others of
     its document with most occurrences of its keywords; lines are tagged with their page.
 
-    Both parts are equi-joins: neighbours on (document, ordinal), related ones on (document, word) with counts merged before
-    the ranking.
+    Neighbours are an equi-join on (document, ordinal); related ones are sought block by block of a document.
     """
+    asked = requests.select(F.col("sentenceId").alias("id")).distinct().withColumn("asked", F.lit(True))
     s = ordinals(sentences).select("id", "documentId", "pageNumber", "ord", display_text(F.col("correctedText"), F.col("originalText")).alias("text"))
-    want = s.join(requests.select(F.col("sentenceId").alias("id")).distinct(), "id", "left_semi")
-    near = (
-        want.select(F.col("id").alias("sentenceId"), "documentId", F.col("ord").alias("_o"), F.explode(F.array(*map(F.lit, (-2, -1, 0, 1, 2)))).alias("_d"))
-        .withColumn("ord", F.col("_o") + F.col("_d")).join(s.select("documentId", "ord", "pageNumber", "text"), ["documentId", "ord"])
-        .select("sentenceId", F.lit(0).alias("part"), F.col("ord").cast("bigint").alias("rank"), "pageNumber", "text")
-    )
-    words = want.select(F.col("id").alias("sentenceId"), "documentId", F.col("ord").alias("_o"), F.explode(keywords(F.col("text"))).alias("word"))
-    posts = s.select("documentId", "id", "ord", F.explode(tokens(F.col("text"))).alias("word")).groupBy("documentId", "id", "ord", "word").agg(F.count("*").alias("c"))
-    hits = words.join(posts, ["documentId", "word"]).where(F.abs(F.col("ord") - F.col("_o")) > 2).groupBy("sentenceId", "id", "ord").agg(F.sum("c").alias("hits"))
-    top = hits.withColumn("rank", F.row_number().over(W.partitionBy("sentenceId").orderBy(F.desc("hits"), "ord"))).where("rank <= 3")
-    far = top.select("sentenceId", "id", F.col("rank").cast("bigint").alias("rank")).join(s.select("id", "pageNumber", "text"), "id").select("sentenceId", F.lit(1).alias("part"), "rank", "pageNumber", "text")
+    s = cut(s.join(asked, "id", "left"))
+    want, s = s.where("asked").drop("asked"), s.drop("asked")
+    near = want.select(F.col("id").alias("sentenceId"), "documentId", F.lit(0).alias("part"), F.explode(F.array(*[F.col("ord") + k for k in (-2, -1, 0, 1, 2)])).alias("ord")).withColumn("rank", F.col("ord").cast("bigint"))
+    far = related(s, want).select("sentenceId", "documentId", F.lit(1).alias("part"), "ord", F.col("rank").cast("bigint").alias("rank"))
+    lines = near.unionByName(far).join(s.select("documentId", "ord", "pageNumber", "text"), ["documentId", "ord"])
     line = F.struct("part", "rank", page_line(F.col("pageNumber"), F.col("text")).alias("line"))
-    return near.unionByName(far).groupBy("sentenceId").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]), "\n").alias("context"))
+    return lines.groupBy("sentenceId").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]), "\n").alias("context"))
 
 
 def sampled(sentences: DataFrame, first: int = 30, parts: int = 80) -> DataFrame:

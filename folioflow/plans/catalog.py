@@ -108,11 +108,24 @@ top AS (SELECT *, row_number() OVER (PARTITION BY sentenceId ORDER BY hits DESC,
 al AS (SELECT * FROM near UNION ALL SELECT t.sentenceId, 1, t.rank, o.pageNumber, o.text FROM top t JOIN ordn o USING (id) WHERE t.rank <= 3)
 SELECT sentenceId, string_agg('[p.' || (pageNumber + 1) || '] ' || text, chr(10) ORDER BY part, rank) AS context FROM al GROUP BY sentenceId""")
 def context_retrieval(s, d):
-    """Context of one sentence of each document, the first in its review queue."""
+    """Context of one sentence of each document only, the first in its review queue; review_contexts serves the whole queue."""
     first = rev(s, d).groupBy("documentId").agg(F.min("sentenceId").alias("sentenceId"))
     return RT.context_of(disp(s, d), first)
 
 
+@query("review_contexts", r""", want AS (SELECT o.* FROM ordn o JOIN (SELECT sentenceId AS id FROM rev) m USING (id)),
+tok AS (SELECT id, documentId, ord, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM ordn),
+near AS (SELECT w.id AS sentenceId, 0 AS part, o.ord AS rank, o.pageNumber, o.text FROM want w JOIN ordn o ON o.documentId = w.documentId AND abs(o.ord - w.ord) <= 2),
+kw AS (SELECT DISTINCT w.id AS sentenceId, w.documentId, w.ord AS o, t.word FROM want w JOIN tok t ON t.id = w.id WHERE length(t.word) >= 5),
+hit AS (SELECT k.sentenceId, t.id, t.ord, count(*) AS hits FROM kw k JOIN tok t ON t.documentId = k.documentId AND t.word = k.word WHERE abs(t.ord - k.o) > 2 GROUP BY 1, 2, 3),
+top AS (SELECT *, row_number() OVER (PARTITION BY sentenceId ORDER BY hits DESC, ord) AS rank FROM hit),
+al AS (SELECT * FROM near UNION ALL SELECT t.sentenceId, 1, t.rank, o.pageNumber, o.text FROM top t JOIN ordn o USING (id) WHERE t.rank <= 3)
+SELECT sentenceId, string_agg('[p.' || (pageNumber + 1) || '] ' || text, chr(10) ORDER BY part, rank) AS context FROM al GROUP BY sentenceId""")
+def review_contexts(s, d):
+    """Context of every sentence in the review queue."""
+    return RT.context_of(disp(s, d), rev(s, d).select("sentenceId"))
+
+
 @query("neighbour_context", r"""SELECT a.id, string_agg(b.text, chr(10) ORDER BY b.ord) AS context FROM ordn a JOIN ordn b ON a.documentId = b.documentId AND b.ord BETWEEN a.ord - 2 AND a.ord + 2 GROUP BY a.id""")
 def neighbour_context(s, d):
     o = RT.ordinals(disp(s, d)).select("id", "documentId", "ord", X.display_text(F.col("correctedText"), F.col("originalText")).alias("text"))

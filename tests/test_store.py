@@ -1,9 +1,14 @@
+import os
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow import schema
 from folioflow.operators import boxes as B, evidence as EV, ink, retrieval as RT, store as ST
 
+SF = "/root/testdata/sf0.001"
+
 
 def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
@@ -126,6 +131,31 @@ def test_context_takes_neighbours_then_related(spark):
     assert got == [f"[p.1] {t}" for t in (*texts[:5], texts[5], texts[6])]
 
 
+def test_related_in_blocks_as_in_whole(spark):
+    rng = random.Random(5)
+    words = ["lattice", "gradient", "reservoir", "polymer", "channel", "short"]
+    texts = [None if i % 50 == 7 else " ".join(rng.choices(words, k=3)) for i in range(700)]
+    s = spark.createDataFrame([("d", f"s{i:03}", i, t) for i, t in enumerate(texts)], "documentId string, id string, ord int, text string")
+    asked = {0, 2, 3, 7, 350, 699}
+    want = []
+    for o in asked:
+        keys = set((texts[o] or "").split())
+        hits = [(-n, i) for i, t in enumerate(texts) if abs(i - o) > 2 and (n := sum(w in keys for w in (t or "").split()))]
+        want += [(f"s{o:03}", i, k + 1) for k, (_, i) in enumerate(sorted(hits)[:3])]
+    for block in (3, 300, 8192):
+        got = RT.related(s, s.where(F.col("ord").isin(list(asked))), block).select("sentenceId", "ord", "rank").collect()
+        assert sorted(map(tuple, got)) == sorted(want), block
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_every_review_gets_its_context(spark):
+    from folioflow.plans import catalog
+
+    queue = {r.sentenceId for r in spark.read.parquet(f"{SF}/ai_correction_reviews.parquet").select("sentenceId").distinct().collect()}
+    got = [r.sentenceId for r in catalog.queries()["review_contexts"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == queue
+
+
 def test_suppression_and_containment(spark):
     b = spark.createDataFrame([(0, 0, 1, 0.9, 0.0, 0.0, 1.0, 1.0), (0, 1, 1, 0.8, 0.0, 0.0, 1.0, 0.9), (0, 2, 2, 0.7, 0.0, 0.0, 1.0, 0.95), (0, 3, 2, 0.6, 0.0, 0.0, 1.0, 1.0)],
                               "page int, ord int, class int, score double, left double, top double, right double, bottom double")
