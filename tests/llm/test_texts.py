@@ -196,6 +196,21 @@ def test_detector_without_rows(spark, tables):
     assert SU.p4_found(spark, d).collect() == []
 
 
+def test_units_of_every_row(spark, tables):
+    stand = "Copyright 12 by the editors of Letters on Slow Glaciers, all rights reserved"
+    rows = [("a", "It works. We saw\nit twice. So be it."), ("b", f"The first\n{stand}\npart ends. Then on."), ("c", f"{stand.upper()}\nIt holds"), ("d", "One. Two."), ("e", "x � y. Then z."), ("f", None), ("g", " \n "), ("h", "The error\n\\[x_1\\]\nis low.")]
+    rows += [(f"k{i}", stand.replace("12", str(i))) for i in range(5)]
+    s = [{"id": k, "documentId": f"d{k}", "originalText": t} for k, t in rows]
+    d = tables(sentences=[*s, *s[:4]], library_documents=[{"id": f"d{k}", "folderId": "f"} for k, _ in rows])
+    got: dict = {}
+    for r in SU.p4_row_units(spark, d).orderBy("sentence_id", "unit_no").collect():
+        got.setdefault(r.sentence_id, []).append(r.unit)
+        assert r.unit_no == len(got[r.sentence_id]) - 1
+    assert {k: v for k, v in got.items() if not k.startswith("k")} == {
+        "a": ["It works.", "We saw\nit twice.", "So be it."], "b": ["The first\npart ends.", stand, "Then on."], "c": [stand.upper(), "It holds"], "d": ["One.", "Two."], "e": ["x � y. Then z."], "h": ["The error\n\\[x_1\\]\nis low."]}
+    assert SU.p4_row_units(spark, tables()).collect() == []
+
+
 # ---------------------------------------------------------------- problem 6
 
 
