@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,6 +184,18 @@ def test_garbled_text_is_found_and_restored(spark):
     assert sum(det.flags(sound)) <= 0.01 * len(sound)
 
 
+@needs_data
+def test_known_characters_come_from_all_rows(spark):
+    d = SF.replace("0.001", "0.01")
+    rows = list({r.id: r.originalText for r in spark.read.parquet(f"{d}/sentences.parquet").where("originalText is not null").collect()}.values())
+    few = WE.Detector(WE.training_texts(spark.read.parquet(f"{d}/sentences.parquet"), "id", "originalText", 1500))
+    count = lambda ts: Counter(c for t in ts for c in set(t) if c.isalpha() and c > "\x7f")
+    every, sound = count(rows), count(t for t, bad in zip(rows, WE.fitted_detector(spark, d).flags(rows)) if not bad)
+    letters = {c for c, n in sound.items() if n >= 5 and n >= 0.5 * every[c]}
+    got = WE.all_known(spark.read.parquet(f"{d}/sentences.parquet"), "id", "originalText", few)
+    assert letters - few.known and few.known <= got and not letters - got
+
+
 def test_chains_invert_strictly():
     for c in ((("utf-8", "cp1252"),), (("cp1251", "koi8_r"),), (("utf-8", "latin-1"), ("utf-8", "latin-1"))):
         t = "Модель"
