@@ -188,9 +188,8 @@ def pair_features(question: str | None, answer: str, field: str) -> list[int]:
     raw = _TOKEN.findall(a)
     toks = [_plain(t) for t in raw]
     out = ["bias", f"f={field}"]
-    body = toks[:120]
-    out += [f"w={t}" for t in dict.fromkeys(body)]
-    out += [f"b={t}_{u}" for t, u in dict.fromkeys(zip(body, body[1:]))]
+    out += [f"w={t}" for t in dict.fromkeys(toks)]
+    out += [f"b={t}_{u}" for t, u in dict.fromkeys(zip(toks, toks[1:]))]
     # the end, without its closing marks
     stem = a.rstrip(_CLOSE)
     tail = stem.rstrip(_MARKS)

@@ -239,6 +239,12 @@ def test_language_of_short_texts():
     assert BP.language("") == BP.language("123") == ("", 0.0)
 
 
+def test_features_come_from_the_whole_answer():
+    long = "the model reads " * 100
+    plain, refused = (set(BP.pair_features("q", f"{long}{x} so the model reads on and on to the end.", "proposedText")) for x in ("it well,", "but I cannot help,"))
+    assert {BP._slot(x) for x in ("w=cannot", "w=help", "b=cannot_help")} <= refused - plain
+
+
 @needs_data
 def test_defects_on_held_out_pairs(spark):
     rows = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/ai_correction_reviews.parquet")
