@@ -25,8 +25,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.sentence_units import boundaries
-from folioflow.llm.token_sizes import limits, rank_encoding
+from folioflow.llm.sentence_units import Places
+from folioflow.llm.token_sizes import limits, rank_encoding, sent_ranks
 from folioflow.sources.tables import table
 
 LEAST_FILL = 0.25
@@ -35,7 +35,6 @@ SECTION = regex.compile(r"(?:\f\s*|\n[^\S\n]*\n\s*)(?=(?:#{1,6}\s|\\section|\d+(
 PARAGRAPH = regex.compile(r"\r?\n[^\S\n]*\r?\n\s*")
 LINE = regex.compile(r"\r\n?|[\n  ]")
 WORD = regex.compile(r"\s+")
-NEAR, REACH = 350, 5600
 
 
 class TokenRuler:
@@ -87,10 +86,15 @@ SEAM = regex.compile(r"(?<=[\p{L}\p{N}]) (?=\p{L})")
 
 
 class Marks:
-    """The ends of sections, paragraphs and lines of a text, each level found when it is first asked for."""
+    """The ends of sections, paragraphs, lines and sentences of a text, each level found in the whole text when it is first
+    asked for."""
 
     def __init__(self, text: str):
-        self.text, self.found = text, {}
+        self.text, self.found, self.places = text, {}, None
+
+    def last_sentence(self, low: int, high: int) -> int | None:
+        self.places = self.places or Places(self.text)
+        return self.places.last(low, high)
 
     def last(self, level: int, low: int, high: int) -> int | None:
         if level not in self.found:
@@ -106,15 +110,9 @@ def last_boundary(text: str, low: int, high: int, marks: Marks) -> int:
         got = marks.last(level, low, high)
         if got is not None:
             return got
-    back = NEAR
-    while True:  # the last sentence ends near: look near first
-        a = max(low, high - back)
-        got = [a + b for b in boundaries(text[a : min(len(text), high + 80)]) if low < a + b <= high]
-        if got:
-            return got[-1]
-        if a == low or back >= REACH:
-            break
-        back *= 4
+    got = marks.last_sentence(low, high)
+    if got is not None:
+        return got
     a = high
     while a > low:
         z, a = a, max(low, a - 200)
@@ -185,10 +183,12 @@ def split_rows(df: DataFrame, key: str, text: str, wanted: list) -> DataFrame:
     params = [(r.limit_id, r.tokenizer, r.max_tokens, r.overlap_tokens or 0) for r in wanted]
     least = min((p[2] for p in params), default=0)
 
+    sent = sent_ranks(df.sparkSession, sorted({p[1] for p in params}))
+
     def run(batches):
         tools = {}
         for _, name, _, _ in params:
-            enc = rank_encoding(name)
+            enc = rank_encoding(name, sent.value)
             tools[name] = enc, np.array([len(enc.decode_single_token_bytes(i)) for i in range(enc.n_vocab)], np.int64)
         for batch in batches:
             rows = []

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +10,21 @@ from folioflow.llm.bpe_encode import PATTERN, TOKENIZERS_DIR, read_ranks
 from folioflow.sources.tables import table
 
 
-@lru_cache(maxsize=8)
-def rank_encoding(name: str, tokenizers_dir: str = TOKENIZERS_DIR):
-    """The tokenizer of a rank file, loaded once per worker."""
-    import tiktoken
+_LOADED: dict[str, object] = {}
+
+
+def sent_ranks(spark: SparkSession, names: list[str], tokenizers_dir: str = TOKENIZERS_DIR):
+    """The rank files of tokenizers, read once on the driver and broadcast: each of a fixed size, a vocabulary."""
+    return spark.sparkContext.broadcast({n: read_ranks(f"{tokenizers_dir}/{n}.tiktoken") for n in names})
 
-    return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=read_ranks(f"{tokenizers_dir}/{name}.tiktoken"), special_tokens={})
+
+def rank_encoding(name: str, ranks: dict):
+    """The tokenizer of a rank table, built once per worker."""
+    if name not in _LOADED:
+        import tiktoken
+
+        _LOADED[name] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks[name], special_tokens={})
+    return _LOADED[name]
 
 
 def limits(spark: SparkSession, d: str, purpose: str) -> list:
@@ -28,8 +35,10 @@ def limits(spark: SparkSession, d: str, purpose: str) -> list:
 def token_counts(df: DataFrame, key: str, text: str, names: list[str], tokenizers_dir: str = TOKENIZERS_DIR) -> DataFrame:
     """(key, n array<int>): each row's tokens by each of the tokenizers; a null or empty text has 0."""
 
+    sent = sent_ranks(df.sparkSession, names, tokenizers_dir)
+
     def run(batches):
-        encs = [rank_encoding(n, tokenizers_dir) for n in names]
+        encs = [rank_encoding(n, sent.value) for n in names]
         for batch in batches:
             texts = batch.column(1).to_pylist()
             out = [[len(e.encode_ordinary(t)) if t else 0 for e in encs] for t in texts]

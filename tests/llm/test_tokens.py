@@ -122,7 +122,7 @@ def test_containers_over_tables(spark, tables):
 def tool():
     import numpy as np
 
-    e = rank_encoding("byte_bpe_50k")
+    e = rank_encoding("byte_bpe_50k", {"byte_bpe_50k": E.read_ranks(f"{E.TOKENIZERS_DIR}/byte_bpe_50k.tiktoken")})
     return e, np.array([len(e.decode_single_token_bytes(i)) for i in range(e.n_vocab)], np.int64)
 
 
