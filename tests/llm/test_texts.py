@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.llm import broken_pairs as BP, repeated_lines as RL, same_look as SL, scan_noise as SN, sentence_units as SU, wrong_encoding as WE
+from folioflow.llm import broken_pairs as BP, language_id as LI, repeated_lines as RL, same_look as SL, scan_noise as SN, sentence_units as SU, wrong_encoding as WE
 
 from .conftest import SF, needs_data
 
@@ -227,36 +227,71 @@ def test_units_of_every_row(spark, tables):
 # ---------------------------------------------------------------- problem 6
 
 
-def test_empty_and_copied_answers():
-    assert all(map(BP.is_empty, (None, "", " ​﻿", "—", "[]", "N/A", "（无）", "...", '""', "null"))) and not BP.is_empty("No model")
+def test_nothing_and_copies():
+    assert all(map(BP.nothing_in, (None, "", " ​﻿", "—", "[]", "...", '""'))) and not BP.nothing_in("No model")
     q = "The model, so far."
     assert all(BP.is_copy(q, a) for a in (q, q.upper(), f'"{q}"', f"翻译: {q}", f"{q} {q}", f"  {q} ", "Thе model, so far.")) and not BP.is_copy(q, "The model so farther") and not BP.is_copy(None, q) and not BP.is_copy("", "")
 
 
-def test_language_of_short_texts():
-    cases = {"en": "The model depends on the threshold", "de": "Das Modell wurde nach dem Training geprüft", "fr": "Le modèle dépend du seuil dans les essais", "es": "El modelo mejora según la tabla en los ensayos", "pt": "O modelo não melhora a ordem de leitura das páginas", "zh": "模型取决于阈值", "ja": "モデルは閾値に依存する", "ru": "Модель зависит от порога", "fa": "این مدل می‌تواند پایدار بماند", "ar": "نموذج يعتمد على العتبة"}
-    assert {k: BP.language(v)[0] for k, v in cases.items()} == {k: k for k in cases}
-    assert BP.language("") == BP.language("123") == ("", 0.0)
+def test_arrays_hold_the_same_words_as_the_texts():
+    t = BP.Texts(["The model, 12 runs", "", "模型 the  MODEL", "12"])
+    assert t.tokens.tolist() == [0, 5, 5, 9, 10] and t.visible.tolist() == [True, False, True, True]
+    assert t.word[1] == t.word[8] and t.word[0] == t.word[7] and t.word[3] == t.word[9] and t.word[5] != t.word[6]
+    with_copy = BP.Pairs(["The model, so far."] * 3, ["the MODEL so far", "Answer: the model, so far.", "the model so"], BP.np.zeros(3, int), BP.known_words(["a"], 1), BP.Languages([]))
+    assert with_copy.copied.tolist() == [True, True, False]
 
 
 def test_features_come_from_the_whole_answer():
-    long = "the model reads " * 100
-    plain, refused = (set(BP.pair_features("q", f"{long}{x} so the model reads on and on to the end.", "proposedText")) for x in ("it well,", "but I cannot help,"))
-    assert {BP._slot(x) for x in ("w=cannot", "w=help", "b=cannot_help")} <= refused - plain
+    long = "the model reads " * 300
+    known = BP.known_words(["the model reads it well but I cannot help so on"], 1)
+    f = lambda x: set(BP.Pairs(["q"], [x], BP.np.zeros(1, int), known, BP.Languages([])).slot.tolist())
+    plain, refused = (f(f"{long}{x} so the model reads on and on") for x in ("it well,", "but I cannot help,"))
+    assert len(refused - plain) >= 6
+    word = "x" * 200
+    assert f(f"it {word} on") != f(f"it {word}y on") or word not in known  # a word longer than any window counts as one
+
+
+def test_refusals_are_composed():
+    all_of = BP.refusals()
+    assert len(all_of) > 5000 and {k for k, _ in all_of} == set(BP.REFUSALS)
+
+
+LINES = {
+    "en": "The model was tested on noisy pages and it depends on the threshold that we have chosen for every sample of the corpus",
+    "de": "Das Modell wurde an verrauschten Seiten geprüft und es hängt von dem Schwellenwert ab, den wir für jede Probe gewählt haben",
+    "fr": "Le modèle a été testé sur des pages bruitées et il dépend du seuil que nous avons retenu pour chaque échantillon du corpus",
+    "es": "El modelo fue probado con páginas ruidosas y depende del umbral que hemos elegido para cada muestra del corpus según la tabla",
+    "zh": "该模型曾在含噪页面上测试，它取决于我们为语料库中每个样本所选的阈值，并且在低温下保持稳定，误差在范围以内，见于多次试验。",
+    "ru": "Модель была проверена на зашумлённых страницах и зависит от порога, который мы выбрали для каждой пробы нашего корпуса",
+}
+
+
+def test_languages_are_learned_from_labels():
+    rng = random.Random(6)
+    mixed = [(k, "\n".join(" ".join(rng.sample(t.split(), len(t.split()))) if k != "zh" else t for _ in range(4))) for k, t in LINES.items() for _ in range(6)]
+    wrong = [("ru", LINES["fr"]), ("de", LINES["es"])]  # labels may be wrong
+    m = LI.Languages([*mixed, *wrong])
+    names, sure = m.name(["We tested the model on every page", "Wir haben die Probe geprüft und gewählt", "il dépend du seuil pour chaque page", "depende del umbral según la tabla", "该模型取决于阈值", "проверена на страницах", "", "Ïðîâåðåíà íà ñòðàíèöàõ ÷òî ìû"])
+    assert names == ["en", "de", "fr", "es", "zh", "ru", "", ""] and sure[6] == 0
+    assert LI.Languages([]).name(["x"])[0] == [""]
 
 
 @needs_data
 def test_defects_on_held_out_pairs(spark):
-    rows = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/ai_correction_reviews.parquet")
-    model = BP.fitted_model(rows.where("pageNumber % 2 = 0"))
-    held = [r for r in rows.where("pageNumber % 2 = 1").collect() if BP.looks_sound(r.parsedText, r.proposedText, "proposedText")]
+    d = SF.replace("0.001", "0.01")
+    rows = spark.read.parquet(f"{d}/ai_correction_reviews.parquet")
+    model = BP.fitted_model(rows.where("pageNumber % 2 = 0"), spark.read.parquet(f"{d}/documents.parquet"))
+    held = [(x.parsedText, x.proposedText, "proposedText") for x in rows.where("pageNumber % 2 = 1").collect() if x.parsedText and x.proposedText]
+    whole = [p for p, ok in zip(held, model.sound(held)) if ok]
     r = random.Random(4)
-    whole = [(x.parsedText, x.proposedText, "proposedText") for x in held]
     cut = [(q, a[: int(len(a) * r.uniform(0.3, 0.8))].rstrip(), f) for q, a, f in whole]
-    refused = [(q, "I'm sorry, but I cannot help with that passage.", f) for q, a, f in whole]
-    other = [(q, "仔细来看，模型在低温下保持稳定，见于5次试验。", f) for q, a, f in whole if BP.language(q)[0] != "zh"]
+    refused = [(q, r.choice(["I'm sorry, but I cannot help with that passage.", "I must ask you to understand that I am unable to do so.", "Je ne peux malheureusement pas vous aider.", "对不起，我不能这样做。"]), f) for q, a, f in whole]
+    empty = [(q, r.choice(["no answer", "keine Angabe", "sin respuesta", "(none)", "没有译文"]), f) for q, a, f in whole]
+    other = [(q, "仔细来看，模型在低温下保持稳定，见于5次试验。", f) for q, a, f in whole if model.languages.name([q])[0][0] not in ("zh", "")]
     share = lambda rows, want: sum(d == want for d in model.defects(rows)) / len(rows)
-    assert share(whole, None) >= 0.97 and share(cut, "TRUNCATED") >= 0.9 and share(refused, "REFUSAL") >= 0.95 and share(other, "WRONG_LANGUAGE") >= 0.9
+    assert share(whole, None) >= 0.97 and share(cut, "TRUNCATED") >= 0.9 and share(refused, "REFUSAL") >= 0.8 and share(other, "WRONG_LANGUAGE") >= 0.9 and share(empty, "EMPTY") >= 0.95
+    again = BP.fitted_model(rows.where("pageNumber % 2 = 0").repartition(7), spark.read.parquet(f"{d}/documents.parquet"))
+    assert (again.w == model.w).all()
 
 
 def test_pairs_over_small_tables(spark, tables):
