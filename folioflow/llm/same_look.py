@@ -14,8 +14,9 @@ space; outer white space is dropped.
 Null texts are no case and stay null; an empty or blank text is normalised to an empty one and is no case. Redelivered rows
 count once.
 
-Scale: the vocabulary and the tokens to look up are never gathered: both are shuffled by a hash of their skeleton's ASCII
-letters into buckets, each of which builds its own small trie. Only rows that hold an odd character leave the JVM.
+Scale: the vocabulary and the tokens to look up are never gathered: both are shuffled by hashes of their skeletons (with a
+cost limit of n, also of the skeletons without up to n characters, so that all within n edits meet) into buckets, as many as the
+tokens need, each of which builds its own small trie. Only rows that hold an odd character leave the JVM.
 Mappings are joined back salted, as one token can stand in a third of the rows. Pairs are made only between different texts
 of one look, with the rows of one text salted on one side.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from folioflow.session import cut
 from folioflow.sources.tables import table
 
-SALTS, BUCKETS, FLUSH = 8, 64, 300_000
+SALTS, PER_BUCKET, FLUSH = 8, 2000, 300_000
 #: Stands in a form for a token that is looked up; private use, so no text in one consistent form needs it.
 MARK = "\ue010"
 
@@ -44,6 +45,9 @@ SPACES = "\t\x0b\x0c\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u
 LETTERS = {
     "cyrillic": ("аеорсухіјѕһӏԁԛԝґАВЕКМНОРСТУХІЈЅԌԚԜЗҮ", "aeopcyxijshldqwrABEKMHOPCTYXIJSGQW3Y"),
     "greek": ("οανρυικτχγΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ", "oavpuiktxyABEZHIKMNOPTYXcj"),
+    "armenian": ("օհսոցզյՕՍՏԼ", "ohungqjOUSL"),
+    "cherokee": ("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏙᏚᏞᏟᏢᏦᏧᏳᏴ", "DRTiAJEWMHYGZRWVSLCPKdGB"),
+    "lisu": ("ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPdDTGKJCZFMNLSRVHWXYAEIOU"),
     "other": ("ɡɑıѵᴏᴄᴠᴡᴢⅼⅰⅴⅹⅽⅾⅿℓ‐‑−―⁃’ʼ", "gaivocvwzlivxcdml------—-''"),
 }
 _FIX = {"ґ": None, "З": None, "Ү": "Y", "υ": None, "ι": None, "κ": None, "τ": None, "χ": None, "γ": None, "ı": None, "−": None, "―": None, "’": None, "ʼ": "’", "⁃": None, "ℓ": None}
@@ -68,6 +72,10 @@ def width_table() -> dict[int, str | None]:
         d = unicodedata.decomposition(chr(c))
         if d.startswith(("<wide>", "<narrow>", "<compat>", "<noBreak>")) or (d and not d.startswith("<")):
             out[c] = unicodedata.normalize("NFKC", chr(c))
+    for c in range(0x1D400, 0x1D800):  # mathematical letters and digits
+        d = unicodedata.decomposition(chr(c))
+        if d.startswith("<font>"):
+            out[c] = unicodedata.normalize("NFKC", chr(c))
     out |= {ord(c): " " for c in SPACES}
     out |= {ord(c): None for c in IGNORABLE}
     return out
@@ -77,9 +85,10 @@ def width_table() -> dict[int, str | None]:
 _JOINERS = regex.compile(r"(?<=[\p{Arabic}\p{Devanagari}\p{Bengali}\p{Tamil}\p{Telugu}\p{Malayalam}\p{Kannada}\p{Gujarati}])[‌‍](?=[\p{Arabic}\p{Devanagari}\p{Bengali}\p{Tamil}\p{Telugu}\p{Malayalam}\p{Kannada}\p{Gujarati}])")
 _KEEP = {"‌": "", "‍": ""}
 #: A token: letters (with their marks) of scripts that have look-alikes among each other.
-TOKEN = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}][\p{Latin}\p{Cyrillic}\p{Greek}\p{Mn}]*")
+TOKEN = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}\p{Lisu}][\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}\p{Lisu}\p{Mn}]*")
+_DOTLESS = regex.compile("[ıȷ](?=[\u0300-\u0314])")
 _SPACE = regex.compile(r" {2,}| ?\n ?")
-ODD = regex.compile(r"[\p{Cyrillic}\p{Greek}ɡɑᴏᴄᴠᴡᴢⅼⅰⅴⅹⅽⅾⅿѵ]")
+ODD = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}\p{Lisu}ɡɑᴏᴄᴠᴡᴢⅼⅰⅴⅹⅽⅾⅿѵ]")
 _CLEAR = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Latin}--[A-Za-z]]", regex.V1)
 
 
@@ -88,7 +97,10 @@ def by_character(text: str) -> str:
     if not text.isascii():
         if "‌" in text or "‍" in text:
             text = _JOINERS.sub(lambda m: _KEEP[m.group()], text)
-        text = unicodedata.normalize("NFC", text.translate(width_table()))
+        text = text.translate(width_table())
+        if "ı" in text or "ȷ" in text:  # under a mark nobody sees whether the dot is there
+            text = _DOTLESS.sub(lambda m: "i" if m.group() == "ı" else "j", text)
+        text = unicodedata.normalize("NFC", text)
         if "" in text:
             text = text.replace("", "‌").replace("", "‍")
         text = text.replace("‐", "-").replace("‑", "-")
@@ -99,11 +111,12 @@ def by_character(text: str) -> str:
 
 @lru_cache(maxsize=200_000)
 def in_doubt(token: str) -> bool:
-    """Whether a token has to be looked up: it mixes scripts, or none of its letters tells its script."""
+    """Whether a token has to be looked up: it mixes scripts, or none of its letters tells its script. A number that looks like a
+    letter is a script of its own."""
     if token.isascii() or not ODD.search(token):
         return False
     looks = look_table()
-    scripts = {unicodedata.name(c, "?").split()[0] for c in token if c.isalpha()}
+    scripts = {unicodedata.name(c, "?").split()[0] if c.isalpha() else "NUMBER" for c in token if c.isalpha() or c in looks}
     return len(scripts) > 1 or all(c in looks or not c.isalpha() for c in token)
 
 
@@ -143,7 +156,12 @@ class Trie:
             node[""] = w
 
     def reach(self, token: str, limit: int = 0) -> list[str]:
-        """The vocabulary entries within `limit` of a token. State: (trie node, position in the token) -> least cost."""
+        """The vocabulary entries within `limit` of a token, the canonical one first."""
+        found = self.costs(token, limit)
+        return sorted(found, key=lambda w: (found[w], not w.isascii(), w))
+
+    def costs(self, token: str, limit: int = 0) -> dict[str, int]:
+        """The vocabulary entries within `limit` with their costs. State: (trie node, position in the token) -> least cost."""
         looks, same = look_table(), {}
         kin = _kin()
         states, seen, found = [(self.root, 0, 0)], {}, {}
@@ -172,7 +190,7 @@ class Trie:
                         states.append((nxt, i, cost + 1))
                         if i < len(token):
                             states.append((nxt, i + 1, cost + 1))
-        return sorted(found, key=lambda w: (found[w], not w.isascii(), w))
+        return found
 
 
 @lru_cache(maxsize=1)
@@ -186,11 +204,16 @@ def _kin() -> dict[str, tuple[str, ...]]:
 # ---------------------------------------------------------------- DataFrame side
 
 
-def _bucket_key(token: Column) -> Column:
-    """Bucket of a token: hash of the ASCII letters of its skeleton, equal for all look-alikes."""
+def _bucket_keys(token: Column, limit: int) -> Column:
+    """Hashes of a token's skeleton, and with a limit also of the skeletons without up to `limit` characters: equal for all
+    look-alikes, and shared by any two tokens within the limit."""
     looks = {k: v for k, v in look_table().items() if len(v) == 1}
-    flat = F.translate(token, "".join(looks), "".join(looks.values()))
-    return F.regexp_replace(flat, r"[^A-Za-z]+", "")
+    flat = F.regexp_replace(F.translate(token, "".join(looks), "".join(looks.values())), f"[{IGNORABLE}]+", "")
+    keys = F.array(flat)
+    for _ in range(limit):
+        without = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+        keys = F.array_distinct(F.concat(keys, F.flatten(F.transform(keys, without))))
+    return F.transform(keys, lambda k: F.xxhash64(k))
 
 
 #: JVM test for text that only Python can bring into form: ignorables, odd spaces, wide, narrow and compatibility forms, marks
@@ -198,19 +221,22 @@ def _bucket_key(token: Column) -> Column:
 _ODD_CHARS = (
     r"[\x{ad}\x{34f}\x{61c}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{feff}\x{fe00}-\x{fe0f}"
     r"\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{ff01}-\x{ffee}\x{fb00}-\x{fb06}\x{2126}\x{212a}\x{212b}\x{2103}\x{2109}\x{2010}\x{2011}"
-    r"\x{b5}\x{3bc}\x{1100}-\x{11ff}\x{3099}\x{309a}\x{300}-\x{36f}\x{653}-\x{655}\x{93c}\x{3131}-\x{318e}\x{261}\x{251}\x{1d0f}\x{1d04}\x{1d20}-\x{1d22}\x{2170}-\x{217f}\x{475}\x{2bc}]"
+    r"\x{b5}\x{3bc}\x{1100}-\x{11ff}\x{3099}\x{309a}\x{300}-\x{36f}\x{653}-\x{655}\x{93c}\x{3131}-\x{318e}\x{261}\x{251}\x{1d0f}\x{1d04}\x{1d20}-\x{1d22}\x{2170}-\x{217f}\x{475}\x{2bc}\x{131}\x{237}\x{1d400}-\x{1d7ff}]"
 )
-_ODD_LETTERS = r"[\p{IsCyrillic}\p{IsGreek}]"
+_ODD_LETTERS = r"[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}\p{IsCherokee}\p{IsLisu}]"
 
 
 def odd_text(text: Column) -> Column:
     """Whether a text may need more than single spaces and trimming."""
-    return text.rlike(r"[^\x00-\x7f]") & text.rlike(_ODD_CHARS + "|" + _ODD_LETTERS)
+    return (F.octet_length(text) != F.length(text)) & text.rlike(_ODD_CHARS + "|" + _ODD_LETTERS)
 
 
 def plain_form(text: Column) -> Column:
     """The form of a text without odd characters: outer white space dropped, runs of spaces made one."""
-    loose = text.contains("  ") | text.contains(" \n") | text.contains("\n ") | text.rlike(r"[\t\x0b\x0c]") | text.rlike(r"^\s|\s$")
+    loose = F.lit(False)
+    for x in ("  ", " \n", "\n ", "\t", "\x0b", "\x0c"):
+        loose = loose | text.contains(x)
+    loose = loose | (F.btrim(text, F.lit(" \t\n\x0b\x0c\r")) != text)
     t = F.regexp_replace(text, r"[ \t\x0b\x0c]*\n[ \t\x0b\x0c]*", "\n")
     return F.when(~loose, text).otherwise(F.regexp_replace(F.regexp_replace(t, r"[ \t\x0b\x0c]+", " "), r"^\s+|\s+$", ""))
 
@@ -250,23 +276,28 @@ def segments(text: str) -> tuple[str, list[str]]:
     return TOKEN.sub(put, form.replace(MARK, " ")), got
 
 
-def spellings(tokens: DataFrame, vocab: DataFrame, limit: int = 0, buckets: int = BUCKETS) -> DataFrame:
+def spellings(tokens: DataFrame, vocab: DataFrame, limit: int = 0, per_bucket: int = PER_BUCKET) -> DataFrame:
     """(token, spelling): the canonical spelling of each doubtful token, by trie or else by table."""
-    left = cut(tokens.select("token").distinct().withColumn("key", _bucket_key(F.col("token"))))
-    # a class's spellings share the key, so only entries that some token could reach travel on
-    right = vocab.withColumn("key", _bucket_key(F.col("word"))).join(left.select("key").distinct(), "key", "left_semi")
-    left = left.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-    right = right.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    left = cut(tokens.select("token").distinct().withColumn("key", F.explode(_bucket_keys(F.col("token"), limit))))
+    # whatever a token could reach shares a key with it, so only such entries travel on
+    right = vocab.withColumn("key", F.explode(_bucket_keys(F.col("word"), limit))).join(left.select("key").distinct(), "key", "left_semi")
+    buckets = max(16, left.count() // per_bucket + 1)
+    left, right = (x.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int")) for x in (left, right))
 
     def walk(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        trie = Trie(b["word"].tolist())
+        trie = Trie(b["word"].unique().tolist())
         out = []
-        for t in a["token"].tolist():
-            best = trie.reach(t, limit)
-            out.append((t, best[0] if best else table_form(t)))
-        return pd.DataFrame(out, columns=["token", "spelling"])
+        for t in a["token"].unique().tolist():
+            got = trie.costs(t, limit)
+            best = min(got.items(), key=lambda x: (x[1], not x[0].isascii(), x[0]), default=None)
+            out.append((t, best[0], best[1]) if best else (t, table_form(t), limit + 1))
+        return pd.DataFrame(out, columns=["token", "spelling", "cost"])
 
-    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(walk, "token string, spelling string")
+    found = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(walk, "token string, spelling string, cost int")
+    if not limit:  # one key a token, so one row
+        return found.select("token", "spelling")
+    best = F.min(F.struct("cost", F.col("spelling").rlike(r"[^\x00-\x7f]").alias("odd"), "spelling"))
+    return found.groupBy("token").agg(best.alias("m")).select("token", "m.spelling")
 
 
 def canonical_texts(rows: DataFrame, carry: list[str], limit: int = 0, salts: int = SALTS) -> DataFrame:
@@ -323,8 +354,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return look_pairs(text_rows(spark, d))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """(row, class, n_texts): each text row with its class of texts that look the same and the number of different texts in it.
+    An empty form has the class of the empty text."""
+    forms = canonical_texts(text_rows(spark, d).withColumn("t", F.xxhash64("text")), ["row", "t"])
+    keyed = cut(forms.select("row", "t", F.xxhash64("form").alias("class")).distinct())
+    sizes = keyed.select("class", "t").distinct().groupBy("class").agg(F.count("*").alias("n_texts"))
+    return keyed.select("row", "class").join(sizes, "class").select("row", "class", "n_texts").distinct()
+
+
 def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     return canonical_texts(text_rows(spark, d), ["row"]).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms}
+QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p1_classes": p1_classes}

@@ -59,6 +59,28 @@ def test_trie_reaches_what_the_plain_distance_allows():
     assert trie.reach("zzz") == []
 
 
+@pytest.mark.parametrize("limit", [0, 1])
+def test_spellings_in_buckets_as_in_one_trie(spark, limit):
+    r = random.Random(limit)
+    words = sorted({"".join(r.choice("abcoxe") for _ in range(r.randrange(2, 6))) for _ in range(80)})
+    tokens = sorted({"".join({"o": "о", "a": "а", "c": "с", "e": "е", "x": "х"}.get(c, c) if r.random() < 0.6 else c for c in r.choice(words) + r.choice(["", "", "x"])) for _ in range(60)})
+    got = SL.spellings(spark.createDataFrame([(t,) for t in tokens], "token string"), spark.createDataFrame([(w,) for w in words], "word string"), limit, 5).collect()
+    trie = SL.Trie(words)
+    assert {x.token: x.spelling for x in got} == {t: (trie.reach(t, limit) or [SL.table_form(t)])[0] for t in tokens} and len(got) == len(tokens)
+
+
+def test_look_alikes_of_more_scripts():
+    assert [SL.table_form(SL.by_character(t)) for t in ("𝐓𝐡𝐞", "mօdel", "Ꭺlpha", "ꓔhe", "modeⅼ")] == ["The", "model", "Alpha", "The", "model"]
+    assert SL.in_doubt("modeⅼ") and SL.in_doubt("mօdel") and not SL.in_doubt("model") and SL.by_character("naı̈ve") == "naïve"
+    assert not SL.in_doubt("хорошо") and not SL.in_doubt("հայերեն")
+
+
+def test_classes_count_their_texts(spark, tables):
+    s = [{"id": f"s{i}", "originalText": t} for i, t in enumerate(["a test", "a te​st", "a test", "other", None, " "])]
+    got = {r.row: (r["class"], r.n_texts) for r in SL.p1_classes(spark, tables(sentences=s + s[:1])).collect()}
+    assert [got[f"s:s{i}"][1] for i in (0, 1, 2, 3, 5)] == [2, 2, 2, 1, 1] and got["s:s0"][0] == got["s:s1"][0] == got["s:s2"][0] != got["s:s3"][0]
+
+
 def test_tokens_without_vocabulary_go_by_table():
     assert SL.table_form("pаuse") == "pause" and SL.table_form("мoдель") == "модель"
     assert SL.by_character("x́ ﬁ") == "x́ fi" and SL.by_character("") == ""
@@ -122,6 +144,29 @@ def test_frequent_misreadings_are_no_words(lexicon):
     assert SN.misread_cost("model", "motel") > SN.ACCEPT and SN.misread_cost("model", "rnodel") == pytest.approx(0.3)
 
 
+def test_deletion_index_finds_what_brute_force_finds():
+    r = random.Random(8)
+    words = {"".join(r.choice("abcdé") for _ in range(r.choice([3, 5, 8, 20, 34]))): 100 for _ in range(40)}
+    lex = SN.Lexicon(words, {})
+    def cuts(w):
+        one = {w[:i] + w[i + 1 :] for i in range(len(w))}
+        return {w} | one | {x[:i] + x[i + 1 :] for x in one for i in range(len(x))}
+    for w in list(words)[:15]:
+        t = w[:1] + r.choice("abx") + w[2:] if len(w) > 4 else w + "b"
+        assert lex._near(t) == {x for x in lex.words if cuts(x) & cuts(t)}
+    assert lex._near("x" * 5000) == set()
+
+
+def test_misreadings_are_learned_and_need_context():
+    words = "membrane number remember ambient embedding tumble".split()
+    rare = {w.replace("mb", "rnb"[0:1] + "h", 1): 1 for w in words}  # mb read as rh, in six words
+    lex = SN.Lexicon({w: 1000 for w in words} | {"the": 1000, "works": 1000, "endings": 1000}, {("the", "membrane"): 9, ("the", "number"): 9, ("number", "works"): 9}, rare | {"endingz": 1})
+    assert [("mb", "rh")] in lex.learned.values()
+    assert lex.repair("merhrane", "the") == "membrane" and lex.repair("merhrane") is None
+    assert lex.repair("numher", "the", "works") == "number" and lex.repair("nurnber") == "number" and lex.repair("numqer", "the") is None
+    assert lex.repair("numбer", "the", "works") is None and SN.Lexicon({}, {}).repair("word") is None
+
+
 def test_running_heads_are_titles_of_the_library(spark, tables):
     s = [{"id": "a", "originalText": "the first part of it\nOn a Robust View\ngoes on here."}, {"id": "b", "originalText": "the first part.\nAn other line\ngoes on."}, {"id": "c", "originalText": None}, {"id": "d", "originalText": ""}]
     d = tables(sentences=s + s[:1], library_documents=[{"id": "x", "title": "On a robust view.pdf"}, {"id": "y", "title": None}], ai_correction_reviews=[{"sentenceId": "a", "parsedText": "one two\n[353]\nthree"}])
