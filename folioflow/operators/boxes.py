@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions import geometry as G
+from folioflow.functions.text import squeeze
 from folioflow.schema import LAYOUT_LABELS
 
 BOX = ["left", "top", "right", "bottom"]
@@ -134,13 +135,36 @@ def hit(regions: DataFrame, points: DataFrame, by: list[str], radius: float, wid
     return near.groupBy("point").agg(F.min(F.struct("d", "a", "ord", "sentence")).alias("m")).select("point", F.col("m.sentence").alias("sentence"))
 
 
-def front_roles(blocks: DataFrame, by: list[str]) -> DataFrame:
-    """First pages' blocks with paragraphs before the title as HEADER and those between title and abstract as AUTHOR; pages
-    without both stay as they are."""
+def front_roles(blocks: DataFrame, by: list[str], first: Column | None = None) -> DataFrame:
+    """Blocks with, on first pages, paragraphs before the title as HEADER and those between title and abstract as AUTHOR; pages
+    without both stay as they are. `first` tells first pages; without it all are."""
     w = W.partitionBy(*by)
     t = F.min(F.when(F.col("type") == "DOCUMENT_TITLE", F.col("ord"))).over(w)
     b = blocks.withColumn("_t", t)
     b = b.withColumn("_a", F.min(F.when((F.col("type") == "ABSTRACT") & (F.col("ord") > F.col("_t")), F.col("ord"))).over(w))
-    para = (F.col("type") == "PARAGRAPH") & F.col("_a").isNotNull()
+    para = (F.col("type") == "PARAGRAPH") & F.col("_a").isNotNull() & (F.lit(True) if first is None else first)
     kind = F.when(para & (F.col("ord") < F.col("_t")), "HEADER").when(para & (F.col("ord") > F.col("_t")) & (F.col("ord") < F.col("_a")), "AUTHOR").otherwise(F.col("type"))
     return b.withColumn("type", kind).drop("_t", "_a")
+
+
+CONTENTS_HEADINGS = ("CONTENTS", "TABLE OF CONTENTS")  # fixed value
+
+
+def is_contents_heading(text: Column) -> Column:
+    return F.upper(squeeze(text)).isin(*CONTENTS_HEADINGS)
+
+
+def contents_roles(blocks: DataFrame, by: list[str], text: Column) -> DataFrame:
+    """Blocks with paragraphs under a contents heading of their column as CONTENTS, up to the next section title of that column.
+
+    The page's section titles are gathered by page; a paragraph finds the last heading before it and the first title after
+    that heading, both by overlap of columns.
+    """
+    title = F.struct("ord", is_contents_heading(text).alias("head"), box().alias("b"))
+    t = blocks.withColumn("_ts", F.sort_array(F.collect_list(F.when(F.col("type") == "SECTION_TITLE", title)).over(W.partitionBy(*by))))
+    above = F.filter("_ts", lambda x: x["head"] & (x["ord"] < F.col("ord")) & (G.column_overlap(x["b"], box()) >= 0.5))
+    t = t.withColumn("_h", F.try_element_at(above, F.lit(-1)))
+    after = F.filter("_ts", lambda x: (x["ord"] > F.col("_h")["ord"]) & (G.column_overlap(x["b"], F.col("_h")["b"]) >= 0.5))
+    stop = F.try_element_at(after, F.lit(1))["ord"]
+    hit = (F.col("type") == "PARAGRAPH") & F.col("_h").isNotNull() & (stop.isNull() | (F.col("ord") < stop))
+    return t.withColumn("type", F.when(hit, "CONTENTS").otherwise(F.col("type"))).drop("_ts", "_h")

@@ -7,7 +7,7 @@ import pytest
 
 from folioflow.functions import codecs, geometry as G, text as X
 from folioflow.functions.diff import changed_ranges
-from folioflow.functions.latex import encoded, normalize_text
+from folioflow.functions.latex import encode_text, encoded, normalize_text
 
 
 def one(spark, col, **values):
@@ -91,7 +91,7 @@ def test_latex_encoding_and_normal_form(spark):
     assert one(spark, encoded(F.col("t")), t="  ") == ""
     assert one(spark, encoded(F.col("t")), t="50 % of x₁₂") == r"\[50 \% of x_{12}\]"
     assert normalize_text(r"\mathrm { d o g } x _ { 1 }") == "dog x_{1}"
-    assert normalize_text(r"\left( \dfrac { a } { b } \right.") == r"( \frac{a}{b}" or normalize_text(r"\left( \dfrac { a } { b } \right.").startswith("(")
+    assert normalize_text(r"\left( \dfrac { a } { b } \right.") == r"(\frac{a}{b}"
     assert normalize_text(r"1 2 . 5 \, \quad x") == "12.5 x"
     assert normalize_text(r"\operatorname* { a r g } \hspace { 1 c m } y") == r"\operatorname*{arg} y"
     assert normalize_text(None) is None and normalize_text("\\") == "\\"
