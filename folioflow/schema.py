@@ -4,41 +4,83 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-S, I, L, FL, B, BIN = T.StringType(), T.IntegerType(), T.LongType(), T.FloatType(), T.BooleanType(), T.BinaryType()
+# The tables, as the documents that are moved here have them.
+TABLE_DDL: dict[str, str] = {
+    "documents": (
+        "id string not null, title string not null, filePath string not null, sha256 string not null, importedAt bigint not null, "
+        "lastOpenedAt bigint not null, pageCount int not null, processedPages int not null, status string not null, errorMessage string, "
+        "aiContextStatus string not null, aiContextSummary string, aiContextError string, aiContextCostCurrency string not null, "
+        "aiContextCostAmount string not null, aiContextPromptTokens int not null, aiContextCompletionTokens int not null, "
+        "fullTranslationStatus string not null, fullTranslationCompleted int not null, fullTranslationTotal int not null, "
+        "fullTranslationCorrectedCount int not null, fullTranslationError string, fullTranslationCostCurrency string not null, "
+        "fullTranslationCostAmount string not null, fullTranslationPromptTokens int not null, fullTranslationCompletionTokens int not null, "
+        "folderId string, isTrashed boolean not null"
+    ),
+    "page_layout_blocks": (
+        "documentId string not null, pageNumber int not null, position int not null, type string not null, text string not null, left float not null, "
+        "top float not null, right float not null, bottom float not null, confidence float not null"
+    ),
+    "page_evidence": (
+        "id string not null, documentId string not null, pageNumber int not null, channel string not null, kind string not null, "
+        "position int not null, parentId string, blockType string, modelId string, text string not null, left float not null, top float not null, "
+        "right float not null, bottom float not null, confidence float not null, imagePng binary"
+    ),
+    "folders": "id string not null, name string not null, createdAt bigint not null",
+    "tags": "id string not null, name string not null",
+    "document_tags": "documentId string not null, tagId string not null",
+    "pages": (
+        "documentId string not null, pageNumber int not null, widthPoints float not null, heightPoints float not null, source string not null, "
+        "textQuality float not null"
+    ),
+    "sentences": (
+        "id string not null, documentId string not null, pageNumber int not null, position int not null, originalText string not null, "
+        "correctedText string, regions string not null, source string not null, confidence float not null"
+    ),
+    "sentence_spans": "sentenceId string not null, position int not null, kind string not null, text string not null",
+    "translations": (
+        "sentenceId string not null, sourceText string not null, translatedText string not null, promptTokens int not null, "
+        "cacheHitTokens int not null, cacheMissTokens int not null, completionTokens int not null, costCurrency string not null, "
+        "costAmount string not null, updatedAt bigint not null"
+    ),
+    "ai_correction_reviews": (
+        "sentenceId string not null, documentId string not null, pageNumber int not null, pdfOriginalText string not null, parsedText string not null, "
+        "proposedText string not null, translatedText string not null, createdAt bigint not null"
+    ),
+    "annotation_strokes": (
+        "id string not null, documentId string not null, pageNumber int not null, tool string not null, color bigint not null, width float not null, "
+        "pressureEnabled boolean not null, points string not null, controlPoints string not null, createdAt bigint not null"
+    ),
+    "sentence_note_strokes": (
+        "id string not null, sentenceId string not null, tool string not null, color bigint not null, width float not null, "
+        "pressureEnabled boolean not null, points string not null, controlPoints string not null, createdAt bigint not null"
+    ),
+    "vocabulary": "id string not null, word string not null, normalizedWord string not null, note string not null, sourceSentenceId string, createdAt bigint not null",
+    "app_settings": "key string not null, value string not null",
+}
 
+# What a column holds that a row does not give.
+DEFAULTS: dict[str, dict[str, object]] = {
+    "documents": {
+        "processedPages": 0, "status": "QUEUED", "aiContextStatus": "NOT_REQUESTED", "aiContextCostCurrency": "", "aiContextCostAmount": "0", "aiContextPromptTokens": 0, "aiContextCompletionTokens": 0,
+        "fullTranslationStatus": "NOT_STARTED", "fullTranslationCompleted": 0, "fullTranslationTotal": 0, "fullTranslationCorrectedCount": 0, "fullTranslationCostCurrency": "", "fullTranslationCostAmount": "0",
+        "fullTranslationPromptTokens": 0, "fullTranslationCompletionTokens": 0, "isTrashed": False,
+    },
+    "translations": {"promptTokens": 0, "cacheHitTokens": 0, "cacheMissTokens": 0, "completionTokens": 0, "costCurrency": "", "costAmount": "0"},
+}
 
-def _table(spec: str) -> T.StructType:
-    """`name:type` words; a question mark makes a column nullable."""
-    kinds = {"s": S, "i": I, "l": L, "f": FL, "b": B, "x": BIN}
-    fields = []
-    for word in spec.split():
-        name, kind = word.split(":")
-        fields.append(T.StructField(name, kinds[kind[0]], kind.endswith("?")))
-    return T.StructType(fields)
+S, B = T.StringType(), T.BooleanType()
+_TYPES = {"string": S, "int": T.IntegerType(), "bigint": T.LongType(), "float": T.FloatType(), "boolean": B, "binary": T.BinaryType()}
 
 
-TABLES: dict[str, T.StructType] = {
-    "documents": _table(
-        "id:s title:s filePath:s sha256:s importedAt:l lastOpenedAt:l pageCount:i processedPages:i status:s errorMessage:s? aiContextStatus:s aiContext:s aiContextError:s? "
-        "aiContextPromptTokens:i aiContextCompletionTokens:i aiContextCostCurrency:s aiContextCostAmount:s fullTranslationStatus:s fullTranslationCompleted:i fullTranslationTotal:i "
-        "fullTranslationPromptTokens:i fullTranslationCompletionTokens:i fullTranslationCostCurrency:s fullTranslationCostAmount:s fullTranslationError:s? fullTranslationCorrectedCount:i folderId:s? isTrashed:b"
-    ),
-    "page_layout_blocks": _table("documentId:s pageNumber:i position:i type:s text:s left:f top:f right:f bottom:f confidence:f"),
-    "page_evidence": _table("id:s documentId:s pageNumber:i channel:s kind:s position:i parentId:s? blockType:s? modelId:s? text:s left:f top:f right:f bottom:f confidence:f imagePng:x?"),
-    "folders": _table("id:s name:s createdAt:l"),
-    "tags": _table("id:s name:s"),
-    "document_tags": _table("documentId:s tagId:s"),
-    "pages": _table("documentId:s pageNumber:i widthPoints:f heightPoints:f source:s textQuality:f"),
-    "sentences": _table("id:s documentId:s pageNumber:i position:i originalText:s correctedText:s? regions:s source:s confidence:f"),
-    "sentence_spans": _table("sentenceId:s position:i kind:s text:s"),
-    "translations": _table("sentenceId:s sourceText:s translatedText:s promptTokens:i cacheHitTokens:i cacheMissTokens:i completionTokens:i costCurrency:s costAmount:s updatedAt:l"),
-    "ai_correction_reviews": _table("sentenceId:s documentId:s pageNumber:i pdfOriginalText:s parsedText:s proposedText:s translatedText:s createdAt:l"),
-    "annotation_strokes": _table("id:s documentId:s pageNumber:i tool:s color:l width:f pressureEnabled:b points:s controlPoints:s createdAt:l"),
-    "sentence_note_strokes": _table("id:s sentenceId:s tool:s color:l width:f pressureEnabled:b points:s controlPoints:s createdAt:l"),
-    "vocabulary": _table("id:s word:s normalizedWord:s note:s sourceSentenceId:s? createdAt:l"),
-    "app_settings": _table("key:s value:s"),
-}
+def table_type(ddl: str) -> T.StructType:
+    """The type of a table from `name type [not null]`, separated by commas."""
+    words = [c.split() for c in ddl.split(", ")]
+    return T.StructType([T.StructField(w[0], _TYPES[w[1]], len(w) == 2) for w in words])
+
+
+TABLES: dict[str, T.StructType] = {name: table_type(ddl) for name, ddl in TABLE_DDL.items()}
 
+# Primary keys, further unique keys, and references whose rows go when their parent goes.
 KEYS: dict[str, tuple[str, ...]] = {
     "documents": ("id",), "page_layout_blocks": ("documentId", "pageNumber", "position"), "page_evidence": ("id",), "folders": ("id",), "tags": ("id",), "document_tags": ("documentId", "tagId"),
     "pages": ("documentId", "pageNumber"), "sentences": ("id",), "sentence_spans": ("sentenceId", "position"), "translations": ("sentenceId",), "ai_correction_reviews": ("sentenceId",),
@@ -50,7 +92,7 @@ UNIQUE: dict[str, tuple[tuple[str, ...], ...]] = {
     "sentences": (("documentId", "pageNumber", "position"),), "vocabulary": (("normalizedWord",),),
 }
 
-#: child -> (its column, parent, the parent's column): rows go when their parent goes.
+# child -> (its column, parent, the parent's column): rows go when their parent goes.
 CASCADES: dict[str, tuple[str, str, str]] = {
     "page_layout_blocks": ("documentId", "documents", "id"), "page_evidence": ("documentId", "documents", "id"), "pages": ("documentId", "documents", "id"),
     "sentences": ("documentId", "documents", "id"), "annotation_strokes": ("documentId", "documents", "id"), "sentence_spans": ("sentenceId", "sentences", "id"),

@@ -29,11 +29,14 @@ def build_session(app: str = "folioflow", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by the session in spark.checkpoint.dir.
 
-    Only where the session names none (tests, a laptop) a local folder is made and set.
+    Only a local session may name none (tests, a laptop): then a local folder is made and set. On a cluster a folder of one
+    machine would lose rows, so there a missing name is an error.
     """
     sc = spark.sparkContext
     where = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "folioflow-checkpoint")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
