@@ -6,13 +6,12 @@ boxes the detector bounds (300 queries); nothing is paired across pages.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions import geometry as G
-from folioflow.functions.text import squeeze
+from folioflow.functions.text import sigmoid, squeeze
 from folioflow.schema import LAYOUT_LABELS
 
 BOX = ["left", "top", "right", "bottom"]
@@ -93,28 +92,59 @@ def order_votes(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 def matched(first: DataFrame, second: DataFrame, by: list[str], least: float = 0.5) -> DataFrame:
     """(by, a, b, iou): greedy one-to-one match of two sets of boxes of a page, of equal class and with enough overlap; boxes of the
-    first are served in order, each taking its best free partner."""
-
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        free, out = list(y.itertuples()), []
-        for a in x.sort_values("ord").itertuples():
-            best, got = least, None
-            for b in free:
-                if b.cls != a.cls:
-                    continue
-                w, h = min(a.right, b.right) - max(a.left, b.left), min(a.bottom, b.bottom) - max(a.top, b.top)
-                i = max(0.0, w) * max(0.0, h)
-                u = (a.right - a.left) * (a.bottom - a.top) + (b.right - b.left) * (b.bottom - b.top) - i
-                if u > 0 and i / u >= best and (got is None or i / u > best):
-                    best, got = i / u, b
-            if got is not None:
-                free.remove(got)
-                out.append((*[getattr(a, c) for c in by], a.ord, got.ord, best))
-        return pd.DataFrame(out, columns=[*by, "a", "b", "iou"])
-
-    x, y = (d.withColumnRenamed("class", "cls") for d in (first, second))
-    kinds = ", ".join(f"{c} {first.schema[c].dataType.simpleString()}" for c in by)
-    return x.groupBy(*by).cogroup(y.groupBy(*by)).applyInPandas(run, f"{kinds}, a bigint, b bigint, iou double")
+    first are served in order, each taking its best free partner, of equally good ones the first. One page's boxes are folded in arrays."""
+    item = lambda d: d.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ord", "class", *BOX))).alias("all"))
+    pages = item(first).withColumnRenamed("all", "_x").join(item(second).withColumnRenamed("all", "_y"), by)
+    none = F.array().cast("array<struct<a:bigint,b:bigint,iou:double>>")
+
+    def step(done: Column, a: Column) -> Column:
+        free = F.filter("_y", lambda b: (b["class"] == a["class"]) & ~F.exists(done, lambda m: m["b"] == b["ord"]))
+        rated = F.filter(F.transform(free, lambda b: F.struct((-G.iou(a, b)).alias("k"), b["ord"].alias("b"))), lambda r: r["k"] <= -least)
+        best = F.array_min(rated)
+        got = F.struct(a["ord"].cast("bigint").alias("a"), best["b"].cast("bigint").alias("b"), (-best["k"]).alias("iou"))
+        return F.when(F.size(rated) > 0, F.concat(done, F.array(got))).otherwise(done)
+
+    return pages.select(*by, F.explode(F.aggregate("_x", none, step)).alias("m")).select(*by, "m.a", "m.b", "m.iou")
+
+
+def unmatched(boxes: DataFrame, matches: DataFrame, by: list[str], side: str) -> DataFrame:
+    """The boxes of one side (a or b) that no match has."""
+    return boxes.join(matches.select(*by, F.col(side).alias("ord")), [*by, "ord"], "left_anti")
+
+
+def mask_iou(a: Column, b: Column) -> Column:
+    """Intersection over union of two masks, arrays of 0 and 1 of one length; 0 where both are empty."""
+    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.when((x > 0) & (y > 0), 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
+    some = F.aggregate(F.zip_with(a, b, lambda x, y: F.when((x > 0) | (y > 0), 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
+    return F.when(some == 0, F.lit(0.0)).otherwise(both / some)
+
+
+def detections(candidates: DataFrame, order: DataFrame, by: list[str], threshold: float, landscape: Column, n: int = TOP, large: list[int] | None = None) -> DataFrame:
+    """A page's regions from the raw scores of (query, class) pairs: the n best, those over the threshold, as corner boxes, without
+    suppressed boxes, pictures of the whole page and boxes held by larger ones; with `readingOrder` and in that order.
+
+    `candidates` has query, class, logit, cx, cy, w, h; `order` has query, rank, votes.
+    """
+    ord_ = F.col("query") * len(LAYOUT_LABELS) + F.col("class")
+    scored = candidates.select(*by, ord_.alias("ord"), "query", "class", sigmoid(F.col("logit")).alias("score"), G.corner_box(F.col("cx"), F.col("cy"), F.col("w"), F.col("h")).alias("b")).select(*by, "ord", "query", "class", "score", "b.*")
+    best = top_pairs(scored, by, n).where(F.col("score") > threshold).drop("rank")
+    kept = suppressed(best.drop("query"), by)
+    left = uncontained(without_page_images(kept, by, landscape), by, large)
+    named = left.withColumn("query", F.floor(F.col("ord") / len(LAYOUT_LABELS)).cast("bigint")).join(order.select(*by, F.col("query").cast("bigint").alias("query"), F.col("rank").alias("readingOrder"), "votes"), [*by, "query"])
+    at = F.row_number().over(W.partitionBy(*by).orderBy("readingOrder", F.desc(F.round("votes", 9)), "ord")) - 1
+    return named.withColumn("position", at).drop("votes")
+
+
+def smallest_holding(boxes: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
+    """(point, ord): the smallest box that holds each point, of equal ones the first."""
+    j = points.join(boxes, by).where(G.holds(box(), F.col("x"), F.col("y")))
+    return j.groupBy("point").agg(F.min(F.struct(G.area(box()).alias("a"), "ord"))["ord"].alias("ord"))
+
+
+def nearest_centre(boxes: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
+    """(point, ord): the box whose centre is nearest to each point, of equal ones the first."""
+    dx, dy = (F.col("left") + F.col("right")) / 2 - F.col("x"), (F.col("top") + F.col("bottom")) / 2 - F.col("y")
+    return points.join(boxes, by).groupBy("point").agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), "ord"))["ord"].alias("ord"))
 
 
 def pair_agreement(matches: DataFrame, by: list[str]) -> DataFrame:

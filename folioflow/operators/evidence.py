@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions.codecs import clamp, name_uuid
-from folioflow.functions.text import strip, strip_fence
+from folioflow.functions.text import sigmoid, strip, strip_fence
 
 CELL = "struct<text:string,left:float,top:float,right:float,bottom:float>"
 TEXT_LAYER = f"struct<error:string,pages:array<struct<width:float,height:float,lines:array<{CELL}>,words:array<{CELL}>>>>"
@@ -108,6 +108,34 @@ def code_point_hashes(c: Column, primes: list[int], buckets: int = 8192) -> Colu
     return F.array(*[((code_point(c) + 1) * p) % buckets for p in primes])
 
 
+def page_quality(pages: DataFrame, lines: DataFrame, by: list[str], native: Column) -> DataFrame:
+    """Pages with `quality`: the mean confidence of their lines; without lines 1 where there is embedded text, else 0."""
+    mean = lines.groupBy(*by).agg(F.avg(F.col("confidence").cast("double")).alias("_q"))
+    return pages.join(mean, by, "left").withColumn("quality", F.coalesce("_q", F.when(native, 1.0).otherwise(0.0))).drop("_q")
+
+
+def adapter(logits: Column, weights: list[float], intercept: float) -> Column:
+    """Probability of a boundary from the averaged logits of a place: a logistic model over them."""
+    z = F.lit(intercept)
+    for i, w in enumerate(weights):
+        z = z + F.get(logits, F.lit(i)) * w
+    return sigmoid(z)
+
+
+def window_scores(windows: DataFrame, key: list[str], weights: list[float], intercept: float) -> DataFrame:
+    """(key, cp, p): probability after each code point. `windows` has the start of each window and its logits, an array of arrays by
+    place; where windows overlap their logits are averaged."""
+    each = windows.select(*key, "start", F.posexplode("logits").alias("i", "l")).select(*key, (F.col("start") + F.col("i")).alias("cp"), F.posexplode("l").alias("k", "v"))
+    mean = each.groupBy(*key, "cp", "k").agg(F.avg("v").alias("m"))
+    rows = mean.groupBy(*key, "cp").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("m"))
+    return rows.select(*key, "cp", adapter(F.col("m"), weights, intercept).alias("p"))
+
+
+def complete_formulas(decoded: DataFrame) -> DataFrame:
+    """Decoded formulas that came to their end and say something."""
+    return decoded.where(F.col("terminated") & (strip(F.col("latex")) != ""))
+
+
 def light_paper(pixels: DataFrame, by: list[str]) -> DataFrame:
     """(by, light): whether a page's sampled pixels are paper: 55 % light and 78 % neutral. `pixels` has r, g, b."""
     lum = F.floor((F.col("r") * 299 + F.col("g") * 587 + F.col("b") * 114) / 1000)

@@ -53,3 +53,18 @@ def imported(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 def vocabulary_row(word: Column, note: Column, sentence: Column, now: Column) -> list[Column]:
     key = F.lower(F.trim(word))
     return [key.alias("id"), F.trim(word).alias("word"), key.alias("normalizedWord"), note.alias("note"), sentence.alias("sourceSentenceId"), now.alias("createdAt")]
+
+
+def toggled(chosen: Column, one: Column) -> Column:
+    """A choice with one item put in, or taken out if it is there."""
+    return F.when(F.array_contains(chosen, one), F.array_remove(chosen, one)).otherwise(F.array_append(chosen, one))
+
+
+def toggled_all(chosen: Column, every: Column) -> Column:
+    """A choice with all shown items put in, or taken out if all of them are there."""
+    return F.when(F.size(F.array_except(every, chosen)) == 0, F.array_except(chosen, every)).otherwise(F.array_union(chosen, every))
+
+
+def block_text(lines: Column, kind: Column, images: tuple[str, ...]) -> Column:
+    """A block's text: its lines, one below the other; none for pictures."""
+    return F.when(kind.isin(*images), F.lit("")).otherwise(F.array_join(lines, "\n"))

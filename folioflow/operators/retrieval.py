@@ -127,6 +127,14 @@ def sampled(sentences: DataFrame, first: int = 30, parts: int = 80) -> DataFrame
     return s.join(n, "documentId").where((F.col("ord") < first) | (F.col("ord") % step == 0)).drop("_n")
 
 
+def analysis_text(sentences: DataFrame, most: int = 24_000) -> DataFrame:
+    """(documentId, text): the sampled sentences of each document by line, cut at `most` characters. A sample has at most
+    some hundred and ninety rows, whatever the document's size."""
+    line = F.struct("ord", F.coalesce(display_text(F.col("correctedText"), F.col("originalText")), F.lit("")).alias("t"))
+    s = sampled(sentences).groupBy("documentId").agg(F.sort_array(F.collect_list(line)).alias("x"))
+    return s.select("documentId", F.left(F.array_join(F.transform("x", lambda i: i["t"]), "\n"), F.lit(most)).alias("text"))
+
+
 def greedy_batches(sentences: DataFrame, max_rows: int = MAX_SENTENCES, max_chars: int = MAX_CHARACTERS, chunk: int = CHUNK) -> DataFrame:
     """(documentId, start, end): the batches a document is sent in: as many sentences as fit the limits, one at least.
 

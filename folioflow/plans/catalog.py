@@ -26,33 +26,6 @@ def oracle_sql() -> dict:
 # ---------------------------------------------------------------- retrieval of context, the flagship
 
 
-@query("context_retrieval", r""", want AS (SELECT o.* FROM ordn o JOIN (SELECT min(sentenceId) AS id FROM rev GROUP BY documentId) m USING (id)),
-tok AS (SELECT id, documentId, ord, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM ordn),
-near AS (SELECT w.id AS sentenceId, 0 AS part, o.ord AS rank, o.pageNumber, o.text FROM want w JOIN ordn o ON o.documentId = w.documentId AND abs(o.ord - w.ord) <= 2),
-kw AS (SELECT DISTINCT w.id AS sentenceId, w.documentId, w.ord AS o, t.word FROM want w JOIN tok t ON t.id = w.id WHERE length(t.word) >= 5),
-hit AS (SELECT k.sentenceId, t.id, t.ord, count(*) AS hits FROM kw k JOIN tok t ON t.documentId = k.documentId AND t.word = k.word WHERE abs(t.ord - k.o) > 2 GROUP BY 1, 2, 3),
-top AS (SELECT *, row_number() OVER (PARTITION BY sentenceId ORDER BY hits DESC, ord) AS rank FROM hit),
-al AS (SELECT * FROM near UNION ALL SELECT t.sentenceId, 1, t.rank, o.pageNumber, o.text FROM top t JOIN ordn o USING (id) WHERE t.rank <= 3)
-SELECT sentenceId, string_agg('[p.' || (pageNumber + 1) || '] ' || text, chr(10) ORDER BY part, rank) AS context FROM al GROUP BY sentenceId""")
-def context_retrieval(s, d):
-    """Context of one sentence of each document only, the first in its review queue; review_contexts serves the whole queue."""
-    first = rev(s, d).groupBy("documentId").agg(F.min("sentenceId").alias("sentenceId"))
-    return RT.context_of(disp(s, d), first)
-
-
-@query("review_contexts", r""", want AS (SELECT o.* FROM ordn o JOIN (SELECT sentenceId AS id FROM rev) m USING (id)),
-tok AS (SELECT id, documentId, ord, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM ordn),
-near AS (SELECT w.id AS sentenceId, 0 AS part, o.ord AS rank, o.pageNumber, o.text FROM want w JOIN ordn o ON o.documentId = w.documentId AND abs(o.ord - w.ord) <= 2),
-kw AS (SELECT DISTINCT w.id AS sentenceId, w.documentId, w.ord AS o, t.word FROM want w JOIN tok t ON t.id = w.id WHERE length(t.word) >= 5),
-hit AS (SELECT k.sentenceId, t.id, t.ord, count(*) AS hits FROM kw k JOIN tok t ON t.documentId = k.documentId AND t.word = k.word WHERE abs(t.ord - k.o) > 2 GROUP BY 1, 2, 3),
-top AS (SELECT *, row_number() OVER (PARTITION BY sentenceId ORDER BY hits DESC, ord) AS rank FROM hit),
-al AS (SELECT * FROM near UNION ALL SELECT t.sentenceId, 1, t.rank, o.pageNumber, o.text FROM top t JOIN ordn o USING (id) WHERE t.rank <= 3)
-SELECT sentenceId, string_agg('[p.' || (pageNumber + 1) || '] ' || text, chr(10) ORDER BY part, rank) AS context FROM al GROUP BY sentenceId""")
-def review_contexts(s, d):
-    """Context of every sentence in the review queue."""
-    return RT.context_of(disp(s, d), rev(s, d).select("sentenceId"))
-
-
 @query("neighbour_context", r"""SELECT a.id, string_agg(b.text, chr(10) ORDER BY b.ord) AS context FROM ordn a JOIN ordn b ON a.documentId = b.documentId AND b.ord BETWEEN a.ord - 2 AND a.ord + 2 GROUP BY a.id""")
 def neighbour_context(s, d):
     o = RT.ordinals(disp(s, d)).select("id", "documentId", "ord", X.display_text(F.col("correctedText"), F.col("originalText")).alias("text"))
@@ -73,43 +46,9 @@ def doc_sample(s, d):
     return RT.sampled(disp(s, d)).select("id", "documentId", "ord")
 
 
-@query("greedy_batches", None)
-def greedy_batches(s, d):
-    return RT.greedy_batches(disp(s, d))
-
-
-@query("batch_context", None)
-def batch_context(s, d):
-    """The two sentences before and after each batch."""
-    b = RT.greedy_batches(disp(s, d))
-    o = RT.ordinals(disp(s, d)).select("documentId", F.col("ord").cast("bigint").alias("ord"), "pageNumber", X.display_text(F.col("correctedText"), F.col("originalText")).alias("text"))
-    at = b.select("documentId", "start", F.explode(F.array(F.col("start") - 2, F.col("start") - 1, F.col("end"), F.col("end") + 1)).alias("ord"))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("ord", X.page_line(F.col("pageNumber"), F.col("text")).alias("line")))), lambda x: x["line"])
-    return at.join(o, ["documentId", "ord"]).groupBy("documentId", "start").agg(F.array_join(lines, "\n").alias("context"))
-
-
-@query("resume_page", r""", p AS (SELECT documentId, pageNumber AS f, coalesce(list_max(list_transform(string_split(regions, '|'), lambda x: try_cast(split_part(x, ',', 1) AS INTEGER))), pageNumber) AS l FROM sen),
-dn AS (SELECT id AS documentId, least(min(processedPages), 8) AS c FROM lib GROUP BY id),
-s1 AS (SELECT d.documentId, d.c, coalesce(min(p.f) FILTER (WHERE p.f < d.c AND p.l >= d.c), d.c) AS c1 FROM dn d JOIN p USING (documentId) GROUP BY 1, 2),
-s2 AS (SELECT d.documentId, d.c1, coalesce(min(p.f) FILTER (WHERE p.f < d.c1 AND p.l >= d.c1), d.c1) AS c2 FROM s1 d JOIN p USING (documentId) GROUP BY 1, 2)
-SELECT documentId, CAST(c2 AS INTEGER) AS page FROM s2""")
-def resume_page(s, d):
-    """Page to read each document from again, had its run stopped at page 8 or earlier."""
-    r = codecs.decode_regions(F.col("regions"))
-    p = sen(s, d, "documentId", "pageNumber", "regions").select("documentId", F.col("pageNumber").alias("first"), F.coalesce(F.array_max(F.transform(r, lambda b: b["page"])), F.col("pageNumber")).alias("last")).distinct()
-    committed = lib(s, d).groupBy(F.col("id").alias("documentId")).agg(F.least(F.min("processedPages"), F.lit(8)).alias("c"))
-    spans = p.join(committed, "documentId").groupBy("documentId", "c").agg(F.collect_set(F.struct("first", "last")).alias("x"))
-    return spans.select("documentId", RT.resume_page(F.col("c"), F.col("x")).cast("int").alias("page"))
-
-
 # ---------------------------------------------------------------- library and store
 
 
-@query("library_active", "SELECT id, title, lastOpenedAt FROM lib WHERE NOT isTrashed")
-def library_active(s, d):
-    return ST.lookup(lib(s, d), [F.desc("lastOpenedAt"), "id"], isTrashed=False).select("id", "title", "lastOpenedAt")
-
-
 @query("library_trash", "SELECT id, title, lastOpenedAt FROM lib WHERE isTrashed")
 def library_trash(s, d):
     return ST.lookup(lib(s, d), [F.desc("lastOpenedAt"), "id"], isTrashed=True).select("id", "title", "lastOpenedAt")
@@ -188,19 +127,6 @@ def corrected_count(s, d):
     return ST.refresh_corrected(docs, sen(s, d, "id", "documentId", "correctedText")).select("id", F.col("fullTranslationCorrectedCount").cast("bigint").alias("n"))
 
 
-@query("cascade_delete", r""", dead AS (SELECT id FROM lib WHERE isTrashed), s AS (SELECT * FROM sen WHERE documentId NOT IN (SELECT id FROM dead))
-SELECT 'documents' AS t, count(*) AS n FROM lib WHERE NOT isTrashed UNION ALL SELECT 'sentences', count(*) FROM s UNION ALL SELECT 'pages', count(*) FROM (SELECT DISTINCT * FROM pages) WHERE documentId NOT IN (SELECT id FROM dead)
-UNION ALL SELECT 'ai_correction_reviews', count(*) FROM rev WHERE sentenceId NOT IN (SELECT id FROM sen WHERE documentId IN (SELECT id FROM dead))""")
-def cascade_delete(s, d):
-    tabs = {"documents": lib(s, d), "sentences": sen(s, d, "id", "documentId"), "pages": table(s, d, "pages").distinct(), "ai_correction_reviews": rev(s, d)}
-    out = ST.cascade_delete(tabs, "documents", lib(s, d).where("isTrashed").select("id"))
-    one = [t.agg(F.count("*").alias("n")).select(F.lit(k).alias("t"), "n") for k, t in out.items()]
-    u = one[0]
-    for x in one[1:]:
-        u = u.unionByName(x)
-    return u
-
-
 @query("delete_from_page", "SELECT id FROM sen WHERE NOT (documentId = 'd000000000' AND pageNumber >= 3)")
 def delete_from_page(s, d):
     return ST.delete(sen(s, d, "id", "documentId", "pageNumber"), (F.col("documentId") == "d000000000") & (F.col("pageNumber") >= 3)).select("id")
@@ -291,18 +217,6 @@ def bulk_tag(s, d):
     return LIB.tagged(docs, ["Alpha", "beta", "ALPHA"]).select("documentId", F.lower("name").alias("tag"))
 
 
-@query("settings_typed", r"SELECT user_id, greatest(20, least(60, max(try_cast(json_extract_string(props, '$.k') AS INTEGER)))) AS k FROM events GROUP BY user_id")
-def settings_typed(s, d):
-    e = table(s, d, "events").select("user_id", F.lit("k").alias("key"), F.lpad(F.get_json_object("props", "$.k"), 8, "0").alias("value"))
-    return ST.settings_map(e, ["user_id"]).select("user_id", codecs.setting(F.col("settings"), "k", "int", 30, 20, 60).alias("k"))
-
-
-@query("migrated_documents", "SELECT id, '' AS aiContext, 0 AS fullTranslationTotal FROM lib")
-def migrated_documents(s, d):
-    """The library in the present schema: columns it lacks get their defaults."""
-    return ST.migrate(lib(s, d), "documents").select("id", "aiContext", "fullTranslationTotal")
-
-
 # ---------------------------------------------------------------- text
 
 
@@ -337,65 +251,28 @@ def uuid3_ids(s, d):
     return sen(s, d, "id", "documentId", "pageNumber", "position").select("id", codecs.name_uuid(name).alias("uuid"))
 
 
-@query("cp_hash", r"SELECT id, list_sum(list_transform(string_split(originalText, ''), lambda c: ((unicode(c) + 1) * 31) % 8192))::BIGINT AS h31, list_sum(list_transform(string_split(originalText, ''), lambda c: ((unicode(c) + 1) * 43) % 8192))::BIGINT AS h43 FROM sen WHERE originalText <> ''")
-def cp_hash(s, d):
-    """Sums of two of the code point hashes that a character model embeds by."""
-    t = sen(s, d, "id", "originalText").where("originalText <> ''")
-    total = lambda k: F.aggregate(F.split("originalText", ""), F.lit(0).cast("bigint"), lambda a, c: a + F.when(c == "", 0).otherwise(((EV.code_point(c) + 1) * k) % 8192))
-    return t.select("id", total(31).alias("h31"), total(43).alias("h43"))
-
-
 @query("accept_correction", None)
 def accept_correction(s, d):
     """No SQL: the other engine's edit distance counts bytes."""
     return rev(s, d).select("sentenceId", X.accepted_correction(F.col("parsedText"), F.col("proposedText"), F.lit(0.25)).alias("accepted"))
 
 
-@query("span_parse", r"""SELECT id, len(regexp_extract_all(originalText, '(?s)\\\[.*?\\\]')) AS formulas FROM sen WHERE originalText IS NOT NULL""")
-def span_parse(s, d):
-    t = sen(s, d, "id", "originalText").where("originalText is not null")
-    return t.select("id", F.size(F.filter(X.spans(F.col("originalText")), lambda x: x["kind"] != "TEXT")).cast("bigint").alias("formulas"))
-
-
-@query("span_rows", None)
-def span_rows(s, d):
-    t = sen(s, d, "id", "originalText").where("originalText is not null")
-    return t.select(F.col("id").alias("sentenceId"), F.posexplode(X.spans(F.col("originalText"))).alias("position", "x")).select("sentenceId", "position", "x.kind", "x.text")
-
-
 @query("token_diff", None)
 def token_diff(s, d):
     return rev(s, d).select("sentenceId", changed("parsedText", "proposedText").alias("x")).select("sentenceId", "x.old", "x.new")
 
 
-@query("latex_encode", None)
-def latex_encode(s, d):
-    t = sen(s, d, "id", "originalText").where(F.col("originalText").rlike(r"[±×≤≥°²³·µμ→]"))
-    return t.select("id", encoded(F.col("originalText")).alias("latex"))
-
-
 @query("latex_normalize", None)
 def latex_normalize(s, d):
     f = sen(s, d, "id", "originalText").select("id", F.explode(F.regexp_extract_all("originalText", F.lit(r"\\\[[\s\S]*?\\\]"), F.lit(0))).alias("f"))
     return f.select("id", "f", normalized("f").alias("plain"))
 
 
-@query("region_codec", r", r AS (SELECT id, unnest(string_split(regions, '|')) AS p FROM sen) SELECT id, try_cast(split_part(p, ',', 1) AS INTEGER) AS page, try_cast(split_part(p, ',', 2) AS FLOAT) AS l, try_cast(split_part(p, ',', 5) AS FLOAT) AS b FROM r WHERE len(string_split(p, ',')) = 5 AND try_cast(split_part(p, ',', 1) AS INTEGER) IS NOT NULL")
-def region_codec(s, d):
-    r = sen(s, d, "id", "regions").select("id", F.explode(codecs.decode_regions(F.col("regions"))).alias("x"))
-    return r.select("id", "x.page", F.col("x.left").alias("l"), F.col("x.bottom").alias("b"))
-
-
 @query("point_codec", _STROKES + "SELECT id, string_agg(printf('%.6f,%.6f,%.4f', p.x::DOUBLE, p.y::DOUBLE, 0.5), ';' ORDER BY i) AS points FROM (SELECT id, unnest(pts) AS p, generate_subscripts(pts, 1) AS i FROM st) GROUP BY id")
 def point_codec(s, d):
     return stroke_rows(s, d).select("id", codecs.encode_points(codecs.decode_points(codecs.encode_points(F.col("points")))).alias("points"))
 
 
-@query("page_quality", r"SELECT documentId, pageNumber, round(avg(confidence::DOUBLE), 6) AS quality, count(*) AS lines FROM sen GROUP BY 1, 2")
-def page_quality(s, d):
-    return sen(s, d, "id", "documentId", "pageNumber", "confidence").groupBy("documentId", "pageNumber").agg(F.round(F.avg(F.col("confidence").cast("double")), 6).alias("quality"), F.count("*").alias("lines"))
-
-
 @query("page_text", r"SELECT documentId, pageNumber, string_agg('[' || (pageNumber + 1) || '] ' || text, chr(10) ORDER BY position, id) AS text FROM disp WHERE text IS NOT NULL GROUP BY 1, 2")
 def page_text(s, d):
     """Sentences of each page joined for a request, tagged with the page."""
@@ -414,21 +291,6 @@ def char_ordinals(s, d):
     return disp(s, d).select("id", F.coalesce(F.sum(t).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"), (F.row_number().over(w) - 1).cast("bigint").alias("line"))
 
 
-@query("reply_validate", r"""SELECT sentenceId, CASE WHEN proposedText IS NULL OR translatedText IS NULL OR trim(proposedText, chr(32)||chr(9)||chr(10)) = '' OR trim(translatedText, chr(32)||chr(9)||chr(10)) = '' THEN 'EMPTY' ELSE 'OK' END AS verdict FROM rev""")
-def reply_validate(s, d):
-    """Each review as a one-item reply in a code fence, read back and validated against its request."""
-    item = F.struct(F.col("sentenceId").alias("id"), F.col("proposedText").alias("corrected_source"), F.col("translatedText").alias("zh_translation"))
-    reply = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(item).alias("items"))), F.lit("\n```"))
-    return EV.validated_replies(rev(s, d).select(F.col("sentenceId").alias("batch"), F.array("sentenceId").alias("ids"), reply.alias("reply"))).select(F.col("batch").alias("sentenceId"), "verdict")
-
-
-@query("request_json", r"""SELECT documentId, pageNumber, count(*) AS n FROM disp WHERE text IS NOT NULL GROUP BY 1, 2""")
-def request_json(s, d):
-    t = X.display_text(F.col("correctedText"), F.col("originalText"))
-    req = EV.batch_requests(disp(s, d).where(t.isNotNull()).withColumn("text", t), ["documentId", "pageNumber"])
-    return req.select("documentId", "pageNumber", F.json_array_length(F.get_json_object("request", "$.items")).cast("bigint").alias("n"))
-
-
 # ---------------------------------------------------------------- boxes
 
 
@@ -440,26 +302,12 @@ def box_iou(s, d):
     return x.join(y, "page").where((F.col("a") < F.col("b")) & (G.intersection(F.col("x"), F.col("y")) > 0)).select("page", "a", "b", F.round(G.iou(F.col("x"), F.col("y")), 6).alias("iou"))
 
 
-@query("nms", None)
-def nms(s, d):
-    return B.suppressed(box_rows(s, d).withColumn("class", F.lit(0)), ["page"]).select("page", "ord")
-
-
 @query("contained_boxes", r"""SELECT x.page, x.ord FROM box x WHERE NOT EXISTS (SELECT 1 FROM box y WHERE y.page = x.page AND y.ord <> x.ord AND y.class IN (1, 3) AND (x.r - x.l) * (x.b - x.t) > 0
  AND greatest(least(x.r, y.r) - greatest(x.l, y.l), 0) * greatest(least(x.b, y.b) - greatest(x.t, y.t), 0) / ((x.r - x.l) * (x.b - x.t)) >= 0.9)""")
 def contained_boxes(s, d):
     return B.uncontained(box_rows(s, d), ["page"], [1, 3]).select("page", "ord")
 
 
-@query("page_images", r"""SELECT page, ord FROM (SELECT *, (class = 4 AND (r - l) * (b - t) > 0.1) AS big, count(*) OVER (PARTITION BY page) AS n FROM box) WHERE NOT big OR n <= 1""")
-def page_images(s, d):
-    boxes = box_rows(s, d)
-    big = (F.col("class") == 4) & (G.area(B.box()) > 0.1)
-    from pyspark.sql import Window as W
-
-    return boxes.withColumn("_n", F.count("*").over(W.partitionBy("page"))).where(~big | (F.col("_n") <= 1)).select("page", "ord")
-
-
 @query("topk_pairs", "SELECT page, ord FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, ord) AS n FROM box) WHERE n <= 5")
 def topk_pairs(s, d):
     return B.top_pairs(box_rows(s, d), ["page"], 5).select("page", "ord")
@@ -498,13 +346,6 @@ def reading_order(s, d):
     return B.order_votes(pairs, ["page"]).select("page", "query", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("match_detections", None)
-def match_detections(s, d):
-    a = box_rows(s, d)
-    b = a.select("page", "ord", "class", "score", *[(F.col(c) + 0.01).alias(c) for c in B.BOX])
-    return B.matched(a, b, ["page"])
-
-
 @query("order_agreement", r""", m AS (SELECT page, ord AS a, row_number() OVER (PARTITION BY page ORDER BY t, ord) AS b FROM box) SELECT m.page, count(*) AS pairs, count(*) FILTER (WHERE m.b > n.b) AS inversions FROM m JOIN m n ON m.page = n.page AND m.a < n.a GROUP BY m.page""")
 def order_agreement(s, d):
     from pyspark.sql import Window as W
@@ -513,11 +354,6 @@ def order_agreement(s, d):
     return B.pair_agreement(m, ["page"])
 
 
-@query("crops", r"""SELECT ord, CAST(least(greatest(floor(l * 1800 + 0.5), 0), 1799) AS INTEGER) AS left, CAST(least(greatest(floor(t * 2400 + 0.5), 0), 2399) AS INTEGER) AS top FROM box""")
-def crops(s, d):
-    return box_rows(s, d).select("ord", G.pixel_crop(B.box(), F.lit(1800), F.lit(2400)).alias("c")).select("ord", "c.left", "c.top")
-
-
 @query("formula_overlap", r""", c AS (SELECT x.page, x.ord AS block, y.ord AS formula, greatest(least(x.r, y.r) - greatest(x.l, y.l), 0) * greatest(least(x.b, y.b) - greatest(x.t, y.t), 0) / nullif((y.r - y.l) * (y.b - y.t), 0) AS o FROM box x JOIN box y ON x.page = y.page AND x.class = 5 AND y.class = 7),
 g AS (SELECT *, row_number() OVER (PARTITION BY page, block ORDER BY o DESC, formula) AS n FROM c WHERE o >= 0.2) SELECT page, block, formula FROM g WHERE n = 1""")
 def formula_overlap(s, d):
@@ -578,44 +414,9 @@ def stroke_transform(s, d):
     return stroke_rows(s, d).select("id", F.round(F.aggregate(p, F.lit(0.0), lambda a, x: a + x["x"]), 6).alias("xs"))
 
 
-@query("nearest_stroke", _STROKES + """, tp AS (SELECT point, page % 5 AS pageNumber, point % 150 AS documentId, x, y FROM pt),
-n AS (SELECT t.point, s.id, min((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y)) AS d FROM tp t JOIN (SELECT id, documentId, pageNumber, unnest(pts) AS p FROM st) s ON s.documentId = t.documentId AND s.pageNumber = t.pageNumber GROUP BY 1, 2)
-SELECT point AS touch, id FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY d, id) AS k FROM n WHERE d < 0.003) WHERE k = 1""")
-def nearest_stroke(s, d):
-    touches = point_rows(s, d).select(F.col("point").alias("touch"), (F.col("page") % 5).alias("pageNumber"), (F.col("point") % 150).alias("documentId"), "x", "y")
-    return ink.nearest(stroke_rows(s, d).withColumn("ord", F.col("id")), touches, ["documentId", "pageNumber"])
-
-
-@query("area_erase", None)
-def area_erase(s, d):
-    path = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.3, 0.3), (0.5, 0.5))])
-    return ink.erased(stroke_rows(s, d), path, F.lit(0.1)).select("id", "fragment", F.size("points").alias("points"))
-
-
-@query("stroke_pressure", _STROKES + "SELECT id, 3 AS segments, 1.5::DOUBLE AS total FROM st")
-def stroke_pressure(s, d):
-    p = G.segment_pressure(F.col("points"), F.lit(True))
-    return stroke_rows(s, d).select("id", F.size(p).alias("segments"), F.aggregate(p, F.lit(0.0), lambda a, x: a + x).alias("total"))
-
-
 # ---------------------------------------------------------------- sentences out of pages
 
 
-def sentence_blocks(s, d) -> DataFrame:
-    """Each sentence row as a paragraph of its page, its lines as lines."""
-    lines = F.transform(F.split("originalText", "\n"), lambda t, i: F.struct(
-        t.alias("text"), F.lit(0.1).alias("left"), (i * 0.03).alias("top"), F.lit(0.9).alias("right"), (i * 0.03 + 0.03).alias("bottom"), F.lit(0.9).alias("confidence"), t.rlike(r"^\\\[.*\\\]$").alias("isFormula")))
-    x = sen(s, d, "documentId", "pageNumber", "position", "originalText").where("originalText is not null")
-    return x.select("documentId", "pageNumber", F.col("position").alias("readingOrder"), F.lit("PARAGRAPH").alias("type"), F.lit("text").alias("layoutLabel"), F.lit(True).alias("selectableBody"),
-                    F.lit(0.1).alias("left"), F.lit(0.1).alias("top"), F.lit(0.9).alias("right"), F.lit(0.9).alias("bottom"), lines.alias("lines"))
-
-
-@query("sentence_stream", None)
-def sentence_stream(s, d):
-    """Sentences of all documents, found again from their blocks."""
-    return segment_documents(sentence_blocks(s, d)).select("documentId", "firstPage", "position", "text", "role", F.size("regions").alias("regions"))
-
-
 # ---------------------------------------------------------------- pages
 
 
@@ -638,16 +439,6 @@ def page_parse(s, d):
     return parse_pages(observed_pages(s, d)).select("documentId", "position", "type", "layoutLabel", F.size("lines").alias("lines"))
 
 
-@query("text_layers", r"SELECT documentId, pageNumber, count(*) AS lines FROM disp WHERE text IS NOT NULL GROUP BY 1, 2")
-def text_layers(s, d):
-    """Each page's sentences written as a text layer and read back."""
-    t = X.display_text(F.col("correctedText"), F.col("originalText"))
-    cell = F.struct(t.alias("text"), F.lit(0.0).alias("left"), F.col("position").cast("double").alias("top"), F.lit(9.0).alias("right"), (F.col("position") + 1.0).alias("bottom"))
-    page = F.struct(F.lit(100.0).alias("width"), F.lit(100.0).alias("height"), F.collect_list(cell).alias("lines"), F.array().cast("array<struct<text:string>>").alias("words"))
-    layers = disp(s, d).where(t.isNotNull()).groupBy("documentId", F.col("pageNumber").alias("p")).agg(F.to_json(F.struct(F.array(page).alias("pages"))).alias("json"))
-    return EV.text_layer_pages(layers).select("documentId", F.col("p").alias("pageNumber"), F.size("lines").cast("bigint").alias("lines"))
-
-
 @query("light_pages", r""", px AS (SELECT page, CAST(floor(255 * (1 - abs(v[1]))) AS INTEGER) AS r, CAST(floor(255 * (1 - abs(v[2]))) AS INTEGER) AS g, CAST(floor(255 * (1 - abs(v[3]))) AS INTEGER) AS b FROM e)
 SELECT page, (count(*) FILTER (WHERE (r * 299 + g * 587 + b * 114) // 1000 >= 205) * 100 >= count(*) * 55 AND count(*) FILTER (WHERE greatest(r, g, b) - least(r, g, b) <= 28) * 100 >= count(*) * 78) AS light FROM px GROUP BY page""")
 def light_pages(s, d):
