@@ -219,7 +219,7 @@ def organised(documents: DataFrame, tags: DataFrame, bridge: DataFrame, choice:
 def required(keys: DataFrame) -> DataFrame:
     """The keys of a bulk operation; none at all raise when the result is read."""
     some = keys.agg(F.when(F.count("*") == 0, F.raise_error(F.lit("nothing is selected")).cast("boolean")).otherwise(F.lit(True)).alias("_some"))
-    return some.join(keys.withColumn("_some", F.lit(True)), "_some", "left").select(*keys.columns)
+    return some.join(keys.withColumn("_some", F.lit(True)), "_some", "left").where("_some").select(*keys.columns)
 
 
 def migrate(df: DataFrame, target: str) -> DataFrame:

@@ -110,10 +110,10 @@ def _latex_sql(t: str) -> str:
     body = f"regexp_replace(translate({body}, '{RAISED + LOWERED}', '{DIGITS + DIGITS}'), '([%#&])', '\\\\\\1', 'g')"
     for k, v in COMMANDS.items():
         body = f"replace({body}, '{k}', '\\{v} ')"
-    return f"'\\[' || trim(regexp_replace({body}, '{_WS}+', ' ', 'g')) || '\\]'"
+    return f"'\\[' || regexp_replace(regexp_replace({body}, '{_WS}+', ' ', 'g'), '^ | $', '', 'g') || '\\]'"
 
 
-query("latex_encode", f", t AS (SELECT id, trim(regexp_replace(originalText, '{_WS}+', ' ', 'g')) AS t FROM sen WHERE originalText IS NOT NULL) SELECT id, CASE WHEN t = '' OR (starts_with(t, '\\[') AND ends_with(t, '\\]')) THEN t ELSE {_latex_sql('t')} END AS latex FROM t")(
+query("latex_encode", f", t AS (SELECT id, regexp_replace(regexp_replace(originalText, '{_WS}+', ' ', 'g'), '^ | $', '', 'g') AS t FROM sen WHERE originalText IS NOT NULL) SELECT id, CASE WHEN t = '' OR (starts_with(t, '\\[') AND ends_with(t, '\\]')) THEN t ELSE {_latex_sql('t')} END AS latex FROM t")(
     lambda s, d: sen(s, d, "id", "originalText").where("originalText is not null").select("id", encoded(c("originalText")).alias("latex")))
 
 _FORMULAS = r", f AS (SELECT id, unnest(regexp_extract_all(originalText, '\\\[[\s\S]*?\\\]')) AS f FROM sen WHERE originalText IS NOT NULL) "
