@@ -251,4 +251,27 @@ def p8_use(spark: SparkSession, d: str) -> DataFrame:
     return used.join(F.broadcast(caps), "limit_id").select("limit_id", "containers", "tokens", F.ceil(F.col("tokens") / F.col("max_tokens")).alias("least"))
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_use": p8_use}
+def p8_valid(spark: SparkSession, d: str) -> DataFrame:
+    """(limit_id, n_docs, n_over, n_divided, n_lost): documents placed, containers over their capacity, documents divided though they would
+    fit, and documents whose pieces do not add up to their size."""
+    wanted = limits(spark, d, "FILL")
+    if not wanted:
+        return spark.createDataFrame([], "limit_id int, n_docs bigint, n_over bigint, n_divided bigint, n_lost bigint")
+    names = sorted({r.tokenizer for r in wanted})
+    counts = cut(token_counts(table(spark, d, "documents"), "doc_id", "text", names))
+    out = None
+    for r in wanted:
+        items = counts.select("doc_id", F.col("n")[names.index(r.tokenizer)].alias("size"))
+        placed = cut(fill(items, "doc_id", r.max_tokens))
+        over = placed.where("n_tokens > 0").groupBy("container").agg(F.sum("n_tokens").alias("t")).agg(F.count_if(F.col("t") > r.max_tokens).alias("n_over"))
+        docs = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k")).join(items, "doc_id", "full")
+        whole = docs.agg(F.count("t").alias("n_docs"), F.count_if((F.col("k") > 1) & (F.col("size") <= r.max_tokens)).alias("n_divided"), F.count_if(~F.col("t").eqNullSafe(F.col("size").cast("bigint"))).alias("n_lost"))
+        counted = ("n_docs", "n_over", "n_divided", "n_lost")
+        both = [x.select(*[F.col(k) if k in x.columns else F.lit(0).cast("bigint").alias(k) for k in counted]) for x in (whole, over)]
+        one = both[0].unionByName(both[1]).agg(*[F.sum(k).alias(k) for k in counted]).select(F.lit(r.limit_id).cast("int").alias("limit_id"), *counted)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES = {"p8_containers": p8_containers, "p8_use": p8_use, "p8_valid": p8_valid}
+ORACLE = {"p8_valid": "SELECT limit_id, (SELECT count(*) FROM documents) AS n_docs, CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_divided, CAST(0 AS BIGINT) AS n_lost FROM size_limits WHERE purpose = 'FILL'"}

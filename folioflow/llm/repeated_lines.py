@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.session import cut
 from folioflow.sources.tables import table
 
 MIN_LETTERS, MIN_DOCS, SALTS = 40, 5, 8
@@ -63,7 +64,7 @@ def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, min_share: float
 
 def repeated_lines(sentences: DataFrame, documents: DataFrame, min_letters: int = MIN_LETTERS, min_docs: int = MIN_DOCS, salts: int = SALTS) -> DataFrame:
     """(sentence_id, line_no, src, n_docs): every line that its source repeats."""
-    lines = line_rows(sentences, documents, min_letters)
+    lines = cut(line_rows(sentences, documents, min_letters))  # parsed once, used twice
     freq = frequent_lines(lines, min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = lines.withColumn("salt", F.pmod(F.hash("id"), F.lit(salts)))
     hit = salted.join(freq, ["src", "h1", "h2", "salt"])

@@ -213,4 +213,24 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_rows(table(spark, d, "documents"), "doc_id", "text", limits(spark, d, "SPLIT"))
 
 
-QUERIES = {"p9_pieces": p9_pieces}
+def p9_joined(spark: SparkSession, d: str) -> DataFrame:
+    """(limit_id, doc_id, text, n_over): each long document's pieces put together again without what they share, and how many of them
+    are over the limit."""
+    caps = {r.limit_id: r.max_tokens for r in limits(spark, d, "SPLIT")}
+    p = p9_pieces(spark, d)
+    cap = F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("limit_id")) if caps else F.lit(0)
+    own = F.struct("piece_no", F.substring("piece", F.col("shared") + 1, F.length("piece")).alias("t"))
+    return p.groupBy("limit_id", "doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(own)), lambda x: x["t"]), "").alias("text"), F.count_if(F.col("n_tokens") > cap).alias("n_over"))
+
+
+def p9_whole(spark: SparkSession, d: str) -> DataFrame:
+    """(limit_id, doc_id, text): for each limit every document's text as its pieces give it, or as it is if it needs none."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    ids = F.array(*[F.lit(r.limit_id) for r in limits(spark, d, "SPLIT")]).cast("array<int>")
+    each = docs.select("doc_id", "text", F.explode(ids).alias("limit_id"))
+    got = p9_joined(spark, d).where("n_over = 0").select("limit_id", "doc_id", F.col("text").alias("t"))
+    return each.join(got, ["limit_id", "doc_id"], "left").select("limit_id", "doc_id", F.coalesce("t", "text").alias("text"))
+
+
+QUERIES = {"p9_pieces": p9_pieces, "p9_joined": p9_joined, "p9_whole": p9_whole}
+ORACLE = {"p9_whole": "SELECT limit_id, doc_id, text FROM documents, size_limits WHERE purpose = 'SPLIT' AND text IS NOT NULL"}

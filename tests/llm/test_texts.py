@@ -115,6 +115,10 @@ def test_repeated_lines_by_brute_force(spark, tables):
         if s["originalText"] is not None:
             left = [x for n, x in enumerate(s["originalText"].split("\n")) if (s["id"], n) not in want]
             assert kept[s["id"]] == ("\n".join(left) if left else None)
+    lines = RL.line_rows(spark.read.parquet(f"{d}/sentences.parquet"), spark.read.parquet(f"{d}/library_documents.parquet"))
+    sizes = lines.select("src", "doc").distinct().groupBy("src").agg(F.count("*").alias("size"))
+    share = {(x.src, x.n_docs) for x in RL.frequent_lines(lines, 1, 0.5, sizes).collect()}
+    assert share == {(k[0], len(v)) for k, v in seen.items() if len(v) >= 0.5 * len({x for kk, vv in seen.items() if kk[0] == k[0] for x in vv})}
     assert RL.p2_found(spark, tables()).collect() == [] and RL.p2_documents(spark, tables()).collect() == []
 
 
