@@ -307,7 +307,7 @@ query("long_strokes", _STROKES + "SELECT id FROM st WHERE id % 3 > 1")(lambda s,
 query("nearest_stroke", _STROKES + """, tp AS (SELECT point, page % 5 AS pageNumber, point % (SELECT max(user_id) + 1 FROM events) AS documentId, x, y FROM pt),
 n AS (SELECT t.point, s.id, min((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y)) AS d FROM tp t JOIN (SELECT id, documentId, pageNumber, unnest(pts) AS p FROM st) s ON s.documentId = t.documentId AND s.pageNumber = t.pageNumber GROUP BY 1, 2)
 SELECT point AS touch, id FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY d, id) AS k FROM n WHERE d < 0.003) WHERE k = 1""")(
-    lambda s, d: ink.nearest(stroke_rows(s, d).withColumn("ord", c("id")), point_rows(s, d).crossJoin(table(s, d, "events").agg((F.max("user_id") + 1).alias("_m"))).select(c("point").alias("touch"), (c("page") % 5).alias("pageNumber"), (c("point") % c("_m")).alias("documentId"), "x", "y"), ["documentId", "pageNumber"]))
+    lambda s, d: _near_strokes(s, d))
 query("area_erase", _STROKES + """, q AS (SELECT id, generate_subscripts(pts, 1) AS i, unnest(pts) AS p FROM st), f AS (SELECT id, i, (sqrt((p.x - 0.3) ** 2 + (p.y - 0.3) ** 2) > 0.1 AND sqrt((p.x - 0.5) ** 2 + (p.y - 0.5) ** 2) > 0.1) AS far FROM q),
 t AS (SELECT id FROM f GROUP BY id HAVING NOT bool_and(far)), g AS (SELECT id, i, i - row_number() OVER (PARTITION BY id ORDER BY i) AS grp FROM f WHERE far), r AS (SELECT id, grp, count(*) AS points, min(i) AS i FROM g GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT t.id, CAST(CASE WHEN r.id IS NOT NULL THEN row_number() OVER (PARTITION BY t.id ORDER BY r.i) - 1 END AS INTEGER) AS fragment, CAST(r.points AS INTEGER) AS points FROM t LEFT JOIN r ON r.id = t.id""")(
@@ -326,6 +326,13 @@ query("box_handles", "SELECT ord, round(l, 9) AS x0, round(b, 9) AS y2, round((l
     lambda s, d: box_rows(s, d).select("ord", F.round(G.corner_handles(B.box())[0]["x"], 9).alias("x0"), F.round(G.corner_handles(B.box())[2]["y"], 9).alias("y2"), F.round(G.rotation_handle(B.box())["x"], 9).alias("rx"), F.round(G.rotation_handle(B.box())["y"], 9).alias("ry")))
 
 
+def _near_strokes(s, d) -> DataFrame:
+    """Touches spread over the documents of all strokes."""
+    users = table(s, d, "events").agg(F.max("user_id") + 1).first()[0] or 1
+    touches = point_rows(s, d).select(c("point").alias("touch"), (c("page") % 5).alias("pageNumber"), (c("point") % users).alias("documentId"), "x", "y")
+    return ink.nearest(stroke_rows(s, d).withColumn("ord", c("id")), touches, ["documentId", "pageNumber"])
+
+
 # ---------------------------------------------------------------- sentences out of pages
 
 
