@@ -195,6 +195,57 @@ def regular_shape(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return (F.abs(la - lb) <= F.greatest(la, lb) * 0.02) & (F.abs(ax * bx + ay * by) <= la * lb * 0.03)
 
 
+def shape_controls(x1: Column, y1: Column, x2: Column, y2: Column, pressure: Column, snap: Column, centred: Column) -> Column:
+    """Controls of a rectangle or ellipse drawn from one point to another: its centre and the middles of its right and lower side.
+
+    With `snap` sides that differ by at most 12 % become equal; `centred` takes the first point for the centre.
+    """
+    dx, dy = x2 - x1, y2 - y1
+    side = F.greatest(F.abs(dx), F.abs(dy))
+    equal = snap & (F.abs(F.abs(dx) - F.abs(dy)) <= side * 0.12)
+    ex, ey = F.when(equal, x1 + F.signum(dx) * side).otherwise(x2), F.when(equal, y1 + F.signum(dy) * side).otherwise(y2)
+    low = [F.when(centred, a - F.abs(e - a)).otherwise(F.least(a, e)) for a, e in ((x1, ex), (y1, ey))]
+    high = [F.when(centred, a + F.abs(e - a)).otherwise(F.greatest(a, e)) for a, e in ((x1, ex), (y1, ey))]
+    cx, cy = (low[0] + high[0]) / 2, (low[1] + high[1]) / 2
+    return F.array(_point(cx, cy, pressure), _point(high[0], cy, pressure), _point(cx, high[1], pressure))
+
+
+def edited_control(c: Column, mobile: Column, other: Column) -> Column:
+    """A control of a rectangle or ellipse that was moved: at the other control's distance from the centre if it is within 12 % of it."""
+    a, b = F.hypot(mobile["x"] - c["x"], mobile["y"] - c["y"]), F.hypot(other["x"] - c["x"], other["y"] - c["y"])
+    k = F.when((F.abs(a - b) <= F.greatest(a, b) * 0.12) & (a > 0.0001), b / a).otherwise(F.lit(1.0))
+    return _point(c["x"] + (mobile["x"] - c["x"]) * k, c["y"] + (mobile["y"] - c["y"]) * k, mobile["pressure"])
+
+
+def stroke_controls(tool: Column, points: Column, controls: Column) -> Column:
+    """The controls a stroke is edited by: its own, else a line's ends, else centre and sides of a shape's bounds, else none."""
+    b, n = bounds(points), F.size(points)
+    cx, cy, one = (b["left"] + b["right"]) / 2, (b["top"] + b["bottom"]) / 2, F.lit(1.0)
+    shape = F.array(_point(cx, cy, one), _point(b["right"], cy, one), _point(cx, b["bottom"], one))
+    ends = F.array(F.element_at(points, 1), F.element_at(points, -1))
+    return F.when(F.size(controls) > 0, controls).when((tool == "LINE") & (n >= 2), ends).when(tool.isin("RECTANGLE", "ELLIPSE") & (n > 0), shape).otherwise(F.slice(points, 1, 0))
+
+
+# Input events of a pen.
+PEN_TOOLS, PEN_SOURCES, SIDE_BUTTONS, CANCEL_ACTION, CANCEL_FLAG = (2, 4), (0x4002, 0xC002), 0x60, 3, 0x20
+
+
+def pen_event(tool_type: Column, source: Column) -> Column:
+    """Whether an event comes from a pen or its eraser, by its tool or its source."""
+    out = tool_type.isin(*PEN_TOOLS)
+    for s in PEN_SOURCES:
+        out = out | (source.bitwiseAND(F.lit(s)) == s)
+    return out
+
+
+def side_button(buttons: Column) -> Column:
+    return buttons.bitwiseAND(F.lit(SIDE_BUTTONS)) != 0
+
+
+def cancelled(action: Column, flags: Column) -> Column:
+    return (action == CANCEL_ACTION) | (flags.bitwiseAND(F.lit(CANCEL_FLAG)) != 0)
+
+
 def corner_handles(b: Column) -> Column:
     one = F.lit(1.0)
     return F.array(_point(b["left"], b["top"], one), _point(b["right"], b["top"], one), _point(b["right"], b["bottom"], one), _point(b["left"], b["bottom"], one))

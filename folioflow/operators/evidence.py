@@ -122,6 +122,11 @@ def adapter(logits: Column, weights: list[float], intercept: float) -> Column:
     return sigmoid(z)
 
 
+def adapter_parameters(json: Column) -> Column:
+    """struct(coefficients, intercept, threshold) of an adapter's file."""
+    return F.from_json(json, "struct<coefficients:array<double>,intercept:double,threshold:double>")
+
+
 def window_scores(windows: DataFrame, key: list[str], weights: list[float], intercept: float) -> DataFrame:
     """(key, cp, p): probability after each code point. `windows` has the start of each window and its logits, an array of arrays by
     place; where windows overlap their logits are averaged."""

@@ -210,6 +210,18 @@ def greedy_batches(sentences: DataFrame, max_rows: int = MAX_SENTENCES, max_char
     return kept.select("documentId", F.explode(F.arrays_zip("starts", "ends")).alias("b")).select("documentId", F.col("b.starts").alias("start"), F.col("b.ends").alias("end"))
 
 
+def running_totals(batches: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Batches with each column's total up to and with them, what a resumed run starts from."""
+    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return batches.select("*", *[F.sum(c).over(w).alias(f"{c}Total") for c in columns])
+
+
+def chunked(rows: DataFrame, by: list[str], ord_: str, n: int) -> DataFrame:
+    """(by, chunk, rows): rows in their order, n to a chunk."""
+    item = F.struct(ord_, *[c for c in rows.columns if c not in (*by, ord_)])
+    return rows.groupBy(*by, F.floor(F.col(ord_) / n).alias("chunk")).agg(F.sort_array(F.collect_list(item)).alias("rows"))
+
+
 def resume_page(committed: Column, firsts: Column) -> Column:
     """First page to read again: moved back while a sentence that starts before it reaches it.
 

@@ -326,6 +326,25 @@ query("box_handles", "SELECT ord, round(l, 9) AS x0, round(b, 9) AS y2, round((l
     lambda s, d: box_rows(s, d).select("ord", F.round(G.corner_handles(B.box())[0]["x"], 9).alias("x0"), F.round(G.corner_handles(B.box())[2]["y"], 9).alias("y2"), F.round(G.rotation_handle(B.box())["x"], 9).alias("rx"), F.round(G.rotation_handle(B.box())["y"], 9).alias("ry")))
 
 
+query("shape_controls", """, g AS (SELECT vec_id, vec_id % 2 = 0 AS snap, vec_id % 3 = 0 AS cen, 0.5::DOUBLE AS x1, 0.4::DOUBLE AS y1, 0.5 + v[1] AS x2, 0.4 + v[2] AS y2 FROM e), h AS (SELECT *, greatest(abs(x2 - x1), abs(y2 - y1)) AS m, snap AND abs(abs(x2 - x1) - abs(y2 - y1)) <= greatest(abs(x2 - x1), abs(y2 - y1)) * 0.12 AS q FROM g),
+k AS (SELECT *, CASE WHEN q THEN x1 + sign(x2 - x1) * m ELSE x2 END AS ex, CASE WHEN q THEN y1 + sign(y2 - y1) * m ELSE y2 END AS ey FROM h),
+z AS (SELECT vec_id, CASE WHEN cen THEN x1 - abs(ex - x1) ELSE least(x1, ex) END AS lx, CASE WHEN cen THEN x1 + abs(ex - x1) ELSE greatest(x1, ex) END AS hx, CASE WHEN cen THEN y1 - abs(ey - y1) ELSE least(y1, ey) END AS ly, CASE WHEN cen THEN y1 + abs(ey - y1) ELSE greatest(y1, ey) END AS hy FROM k)
+SELECT vec_id, round((lx + hx) / 2, 9) AS cx, round((ly + hy) / 2, 9) AS cy, round(hx, 9) AS hx, round(hy, 9) AS hy FROM z""")(
+    lambda s, d: emb(s, d).select("vec_id", G.shape_controls(lit(0.5), lit(0.4), lit(0.5) + c("v1"), lit(0.4) + c("v2"), lit(1.0), c("vec_id") % 2 == 0, c("vec_id") % 3 == 0).alias("p")).select("vec_id", F.round(c("p")[0]["x"], 9).alias("cx"), F.round(c("p")[0]["y"], 9).alias("cy"), F.round(c("p")[1]["x"], 9).alias("hx"), F.round(c("p")[2]["y"], 9).alias("hy")))
+query("edited_controls", """, g AS (SELECT vec_id, v[1] AS mx, v[2] AS my, sqrt(v[1] * v[1] + v[2] * v[2]) AS a, sqrt(v[3] * v[3] + v[4] * v[4]) AS b FROM e), h AS (SELECT *, CASE WHEN abs(a - b) <= greatest(a, b) * 0.12 AND a > 0.0001 THEN b / a ELSE 1 END AS k FROM g) SELECT vec_id, round(mx * k, 9) AS x, round(my * k, 9) AS y FROM h""")(
+    lambda s, d: emb(s, d).select("vec_id", G.edited_control(G._point(lit(0.0), lit(0.0), lit(1.0)), G._point(c("v1"), c("v2"), lit(1.0)), G._point(c("v3"), c("v4"), lit(1.0))).alias("p")).select("vec_id", F.round("p.x", 9).alias("x"), F.round("p.y", 9).alias("y")))
+query("stroke_controls", _STROKES + """SELECT id, CASE id % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END AS n, round(CASE id % 3 WHEN 0 THEN pts[1].x WHEN 1 THEN (list_min(list_transform(pts, lambda p: p.x)) + list_max(list_transform(pts, lambda p: p.x))) / 2 END, 9)::DOUBLE AS x FROM st""")(
+    lambda s, d: stroke_rows(s, d).select("id", G.stroke_controls(F.element_at(F.array(lit("LINE"), lit("ELLIPSE"), lit("PEN")), (c("id") % 3 + 1).cast("int")), c("points"), F.slice("points", 1, 0)).alias("k")).select("id", F.size("k").alias("n"), F.round(F.get("k", lit(0))["x"].cast("double"), 9).alias("x")))
+query("pen_events", "SELECT event_id, (event_id % 5 IN (2, 4) OR (event_id % 70000 & 16386) = 16386 OR (event_id % 70000 & 49154) = 49154) AS pen, (event_id % 128 & 96) <> 0 AS side, (event_id % 4 = 3 OR (event_id % 64 & 32) <> 0) AS gone FROM events")(
+    lambda s, d: table(s, d, "events").select("event_id", G.pen_event((c("event_id") % 5).cast("int"), (c("event_id") % 70000).cast("int")).alias("pen"), G.side_button((c("event_id") % 128).cast("int")).alias("side"), G.cancelled((c("event_id") % 4).cast("int"), (c("event_id") % 64).cast("int")).alias("gone")))
+query("adapter_files", "SELECT n_nationkey, 3 AS n, n_nationkey / 2.0::DOUBLE AS intercept, 0.25::DOUBLE AS threshold FROM nation")(
+    lambda s, d: table(s, d, "nation").select("n_nationkey", EV.adapter_parameters(F.format_string('{"coefficients":[1,2.5,3],"intercept":%s,"threshold":0.25}', (c("n_nationkey") / 2).cast("string"))).alias("a")).select("n_nationkey", F.size("a.coefficients").alias("n"), "a.intercept", "a.threshold"))
+query("running_totals", "SELECT sentenceId, CAST(sum(length(coalesce(proposedText, ''))) OVER (PARTITION BY documentId ORDER BY pageNumber, createdAt, sentenceId) AS BIGINT) AS tokensTotal FROM rev")(
+    lambda s, d: RT.running_totals(rev(s, d).select("sentenceId", "documentId", "pageNumber", "createdAt", F.length(F.coalesce("proposedText", lit(""))).alias("tokens")), ["documentId"], ["pageNumber", "createdAt", "sentenceId"], ["tokens"]).select("sentenceId", "tokensTotal"))
+query("chunked_rows", "SELECT page, ord // 2 AS chunk, string_agg(CAST(class AS VARCHAR), ',' ORDER BY ord) AS classes FROM box GROUP BY 1, 2")(
+    lambda s, d: RT.chunked(box_rows(s, d).select("page", "ord", "class"), ["page"], "ord", 2).select("page", "chunk", F.array_join(F.transform("rows", lambda r: r["class"].cast("string")), ",").alias("classes")))
+
+
 def _near_strokes(s, d) -> DataFrame:
     """Touches spread over the documents of all strokes."""
     users = table(s, d, "events").agg(F.max("user_id") + 1).first()[0] or 1
