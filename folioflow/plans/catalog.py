@@ -251,12 +251,6 @@ def uuid3_ids(s, d):
     return sen(s, d, "id", "documentId", "pageNumber", "position").select("id", codecs.name_uuid(name).alias("uuid"))
 
 
-@query("accept_correction", None)
-def accept_correction(s, d):
-    """No SQL: the other engine's edit distance counts bytes."""
-    return rev(s, d).select("sentenceId", X.accepted_correction(F.col("parsedText"), F.col("proposedText"), F.lit(0.25)).alias("accepted"))
-
-
 @query("token_diff", None)
 def token_diff(s, d):
     return rev(s, d).select("sentenceId", changed("parsedText", "proposedText").alias("x")).select("sentenceId", "x.old", "x.new")

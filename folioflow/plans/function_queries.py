@@ -187,8 +187,26 @@ def decisions_off(s, d):
     return RC.decision_rows(RC.decided(sen(s, d, "id", "documentId", "pageNumber", "originalText", "correctedText"), items, lit(0.25), lit(False)), lit(0).cast("bigint"))[0]
 
 
-query("decisions", None)(lambda s, d: _decisions(s, d).select("id", "stored", "review"))
-query("decision_reviews", None)(lambda s, d: RC.decision_rows(_decisions(s, d), lit(0).cast("bigint"))[2])
+# A correction in SQL: the edit distance row by row, only where the lengths allow it.
+_ACCEPT = r"""list_reduce(string_split({a}, ''), lambda row, ch: list_reduce(range(1, length({b}) + 1), lambda nr, j: list_append(nr, least(nr[j] + 1, row[j + 1] + 1, row[j] + CASE WHEN string_split({b}, '')[j] = ch THEN 0 ELSE 1 END)), [row[1] + 1]), range(0, length({b}) + 1))[length({b}) + 1]"""
+_TRIM = r"regexp_replace({0}, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')"
+_FORMULA = r"regexp_extract_all({0}, '\\\[[\s\S]*?\\\]|\$[^$]+\$')"
+_TAKEN = (
+    ", ca AS (SELECT *, " + _TRIM.format("proposed") + " AS cl FROM rq), cm AS (SELECT *, greatest(1, CAST(floor(CAST(greatest(length(src), length(cl), 1) AS FLOAT) * CAST(0.25 AS FLOAT)) AS INTEGER)) AS most FROM ca),"
+    + " cd AS (SELECT *, CASE WHEN cl <> '' AND cl <> src AND abs(length(src) - length(cl)) <= most AND " + _FORMULA.format("cl") + " = " + _FORMULA.format("src") + " THEN " + _ACCEPT.format(a="src", b="cl") + " END AS dist FROM cm),"
+    + " ct AS (SELECT *, CASE WHEN dist <= most THEN cl END AS taken FROM cd) "
+)
+query("accept_correction", ", rq AS (SELECT sentenceId, parsedText AS src, proposedText AS proposed FROM rev)" + _TAKEN + "SELECT sentenceId, taken AS accepted FROM ct")(
+    lambda s, d: rev(s, d).select("sentenceId", X.accepted_correction(c("parsedText"), c("proposedText"), lit(0.25)).alias("accepted")))
+_DECIDED = (
+    ", rq AS (SELECT s.id, s.documentId, s.pageNumber, s.originalText, s.correctedText, coalesce(s.correctedText, s.originalText) AS src, r.proposedText AS proposed, r.translatedText FROM sen s JOIN rev r ON r.sentenceId = s.id)"
+    + _TAKEN + ", dc AS (SELECT *, CASE WHEN cl = src THEN cl ELSE taken END AS fin FROM ct) "
+)
+query("decisions", _DECIDED + "SELECT id, CASE WHEN fin IS NULL THEN correctedText ELSE nullif(fin, originalText) END AS stored, fin IS NULL AS review FROM dc")(lambda s, d: _decisions(s, d).select("id", "stored", "review"))
+query("decision_reviews", _DECIDED + "SELECT id AS sentenceId, documentId, pageNumber, src AS parsedText, proposed AS proposedText, translatedText FROM dc WHERE fin IS NULL")(
+    lambda s, d: RC.decision_rows(_decisions(s, d), lit(0).cast("bigint"))[2].select("sentenceId", "documentId", "pageNumber", "parsedText", "proposedText", "translatedText"))
+query("decision_translations", _DECIDED + "SELECT id AS sentenceId, coalesce(CASE WHEN fin IS NULL THEN correctedText ELSE nullif(fin, originalText) END, originalText) AS sourceText, translatedText FROM dc")(
+    lambda s, d: RC.decision_rows(_decisions(s, d), lit(0).cast("bigint"))[1].select("sentenceId", "sourceText", "translatedText"))
 
 _UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-' || substr('89ab', 1 + (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
 
@@ -367,6 +385,30 @@ def sentence_blocks(s, d) -> DataFrame:
                     lit(0.1).alias("left"), lit(0.1).alias("top"), lit(0.9).alias("right"), lit(0.9).alias("bottom"), lines.alias("lines"))
 
 
+# The stream in SQL: lines of one running text are put together with the joints between them, formulas with their marks kept apart by
+# private characters; places before capitals are cut, and pieces without letters go with what follows.
+_STREAM = r""", sb AS (SELECT documentId, pageNumber, position, originalText, CASE position % 23 WHEN 7 THEN 'TITLE' WHEN 11 THEN 'CAPTION' WHEN 13 THEN 'CONTENTS' WHEN 17 THEN 'ABSTRACT' ELSE 'BODY' END AS role FROM sen WHERE originalText IS NOT NULL),
+sr AS (SELECT *, count(*) FILTER (WHERE role = 'TITLE') OVER (PARTITION BY documentId ORDER BY pageNumber, position) AS stretch FROM sb),
+sl AS (SELECT * EXCLUDE (originalText), unnest(string_split(originalText, chr(10))) AS raw, generate_subscripts(string_split(originalText, chr(10)), 1) AS i FROM sr),
+sq AS (SELECT *, regexp_replace(regexp_replace(raw, '_SP', ' ', 'g'), '^ | $', '', 'g') AS t, regexp_matches(raw, '^\\\[.*\\\]$') AS f FROM sl),
+sk AS (SELECT *, CASE role WHEN 'BODY' THEN 'B' || stretch WHEN 'ABSTRACT' THEN 'A' || stretch WHEN 'CONTENTS' THEN 'C' || pageNumber || ':' || position || ':' || i ELSE role || pageNumber || ':' || position END AS gk FROM sq WHERE t <> ''),
+sf AS (SELECT *, lead(t) OVER w AS nt, lead(f) OVER w AS nf, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '^\\\[', ''), '\\\]$', ''), '((\\[!,;:])|\\(quad|qquad|enspace|thinspace|medspace|thickspace))+\s*$', ''), '\s+$', '') AS inner_ FROM sk WINDOW w AS (PARTITION BY documentId, gk ORDER BY pageNumber, position, i)),
+sp AS (SELECT *, CASE WHEN f THEN chr(57344) || translate(t, '.?!', chr(57345) || chr(57346) || chr(57347)) || chr(57348) || CASE WHEN regexp_matches(inner_, '\\(right|left)\.$') THEN '' ELSE regexp_extract(inner_, '[.,;:?!]$') END
+   WHEN NOT f AND nt IS NOT NULL AND NOT nf AND ends_with(t, '-') AND regexp_matches(nt, '^\p{Ll}') THEN substr(t, 1, length(t) - 1) ELSE t END
+   || CASE WHEN nt IS NULL OR (NOT f AND NOT nf AND ends_with(t, '-') AND regexp_matches(nt, '^\p{Ll}')) THEN '' ELSE ' ' END AS piece FROM sf),
+sj AS (SELECT documentId, gk, any_value(role) AS role, string_agg(piece, '' ORDER BY pageNumber, position, i) AS txt FROM sp GROUP BY 1, 2),
+sc AS (SELECT documentId, gk, role, string_split(CASE WHEN role IN ('TITLE', 'CONTENTS') THEN txt ELSE regexp_replace(txt, '([.?!])(\s*)(\p{Lu})', '\1\2' || chr(1) || '\3', 'g') END, chr(1)) AS fr FROM sj),
+su AS (SELECT documentId, gk, role, unnest(fr) AS x, generate_subscripts(fr, 1) AS i FROM sc),
+sg AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(x, '\p{L}') THEN 1 ELSE 0 END) OVER (PARTITION BY documentId, gk ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM su)
+SELECT documentId, role, trim(translate(regexp_replace(string_agg(x, '' ORDER BY i), '[' || chr(57344) || ']|' || chr(57348) || '[.,;:?!]?', '', 'g'), chr(57345) || chr(57346) || chr(57347), '.?!')) AS text FROM sg GROUP BY documentId, gk, role, g""".replace("_SP", r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+")
+
+
+@query("stream_texts", _STREAM)
+def stream_texts(s, d):
+    """The texts of all sentences with their roles, found again from their blocks."""
+    return segment_documents(sentence_blocks(s, d)).select("documentId", "role", "text")
+
+
 @query("sentence_stream", None)
 def sentence_stream(s, d):
     """Sentences of all documents, found again from their blocks."""

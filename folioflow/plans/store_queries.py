@@ -102,7 +102,7 @@ for _n, _v, _by, _order, _cols in _READS:
 # Lookups of one key: (name, view, key column, key, columns).
 _POINTS = [
     ("get_document", "lib", "id", "d000000000", ["id", "title", "pageCount"]), ("get_sentence", "sen", "documentId", "d000000001", ["id", "originalText"]), ("get_translation", "tra", "sentenceId", None, ["sentenceId", "translatedText"]),
-    ("get_setting", "cfg", "key", "FRANCE", ["value"]), ("get_note_strokes", "stk", "documentId", 7, ["id", "createdAt"]), ("get_evidence", "evi", "documentId", "p3", ["id", "kind"]),
+    ("get_setting", "cfg", "key", "NATION_3", ["value"]), ("get_note_strokes", "stk", "documentId", 7, ["id", "createdAt"]), ("get_evidence", "evi", "documentId", "p3", ["id", "kind"]),
 ]
 for _n, _v, _k, _x, _cols in _POINTS:
     add(_n, lambda s, d, v=_v, k=_k, x=_x, cols=_cols: (ST.lookup(VIEW[v](s, d), **{k: x}) if x is not None else VIEW[v](s, d)).select(*cols),
@@ -157,7 +157,7 @@ for _n, _v, _if, _keys in _DELETES:
 
 # Deletes of many keys, given as a table: (name, view, key, view of the keys, their column, condition on them).
 _MANY = [
-    ("drop_reviews", "rev", "sentenceId", "sen", "id", "pageNumber > 1"), ("drop_strokes", "stk", "id", "stk", "id", "tool = 'click'"), ("drop_note_strokes", "stk", "documentId", "stk", "documentId", "id % 9 = 0"), ("drop_settings", "cfg", "key", "cfg", "key", "value > '2'"),
+    ("drop_reviews", "rev", "sentenceId", "sen", "id", "pageNumber > 1"), ("drop_strokes", "stk", "id", "stk", "id", "tool = 'click'"), ("drop_note_strokes", "stk", "documentId", "stk", "documentId", "id < 20"), ("drop_settings", "cfg", "key", "cfg", "key", "value > '2'"),
 ]
 for _n, _v, _k, _from, _kc, _if in _MANY:
     add(_n, lambda s, d, v=_v, k=_k, o=_from, kc=_kc, cond=_if: ST.delete_keys(VIEW[v](s, d), VIEW[o](s, d).where(cond).select(c(kc).alias(k)), [k]).select("id" if v == "stk" else k),
@@ -312,5 +312,5 @@ add("setting_rows", lambda s, d: table(s, d, "nation").select("n_name", F.explod
     "SELECT n_name, unnest(['model', 'prompt', 'max_change_ratio']) AS key, unnest(['m' || n_regionkey, '{text} ' || n_name, CAST(greatest(0.05, least(1.0, n_nationkey / 10.0)) AS VARCHAR)]) AS value FROM nation")
 add("document_settings", lambda s, d: ST.document_setting(lib(s, d).where("pageCount > 3").select(F.concat(F.lit("layout."), "id").alias("key"), F.col("pageCount").cast("string").alias("value")), lib(s, d), "layout."),
     "SELECT id, CASE WHEN pageCount > 3 THEN CAST(pageCount AS VARCHAR) END AS value FROM lib")
-add("clamped_settings", lambda s, d: cfg(s, d).select("key", codecs.setting(F.create_map("key", "value"), "FRANCE", "int", 7, 2, 9).alias("v")), "SELECT key, greatest(2, least(9, CASE WHEN key = 'FRANCE' THEN CAST(value AS INTEGER) ELSE 7 END)) AS v FROM cfg")
+add("clamped_settings", lambda s, d: cfg(s, d).select("key", codecs.setting(F.create_map("key", "value"), "NATION_3", "int", 7, 2, 9).alias("v")), "SELECT key, greatest(2, least(9, CASE WHEN key = 'NATION_3' THEN CAST(value AS INTEGER) ELSE 7 END)) AS v FROM cfg")
 add("bulk_tag_rows", lambda s, d: LIB.tagged(lib(s, d).select(c("id").alias("documentId")).distinct(), ["Alpha", "beta", "ALPHA", " "]).select("documentId", "name", "id"), f"SELECT DISTINCT lib.id AS documentId, x.n AS name, {_UUID.format('lower(x.n)')} AS id FROM lib, (SELECT unnest(['Alpha', 'beta']) AS n) x")
