@@ -16,7 +16,7 @@ REPLY = "struct<items:array<struct<id:string,corrected_source:string,zh_translat
 
 def code_point(c: Column) -> Column:
     """Code point of a one-character string."""
-    return F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("bigint")
+    return F.ascii(c).cast("bigint")
 
 
 def positioned(rows: DataFrame) -> DataFrame:
@@ -104,8 +104,9 @@ def window_starts(length: Column, window: int = 512, stride: int = 256) -> Colum
     return F.array_distinct(F.concat(F.transform(F.sequence(F.lit(0), F.ceil(last / stride).cast("int")), lambda i: F.least(i * stride, last)), F.array(last)))
 
 
-def code_point_hashes(c: Column, primes: list[int], buckets: int = 8192) -> Column:
-    return F.array(*[((code_point(c) + 1) * p) % buckets for p in primes])
+def code_point_hashes(point: Column, primes: list[int], buckets: int = 8192) -> Column:
+    """Buckets of a code point, one for each prime."""
+    return F.array(*[((point + 1) * p) % buckets for p in primes])
 
 
 def page_quality(pages: DataFrame, lines: DataFrame, by: list[str], native: Column) -> DataFrame:

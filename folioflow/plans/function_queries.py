@@ -90,7 +90,7 @@ def settings_typed(s, d):
 _PRIMES = (31, 43, 59, 61, 73, 97, 103, 113)  # fixed values
 query("cp_hash", "SELECT id, " + ", ".join(f"list_sum(list_transform(string_split(originalText, ''), lambda c: ((unicode(c) + 1) * {k}) % 8192))::BIGINT AS h{k}" for k in _PRIMES) + " FROM sen WHERE originalText <> ''")(
     lambda s, d: sen(s, d, "id", "originalText").where("originalText <> ''").select(
-        "id", F.aggregate(F.filter(F.split("originalText", ""), lambda x: x != ""), F.array_repeat(lit(0).cast("bigint"), len(_PRIMES)), lambda a, x: F.zip_with(a, EV.code_point_hashes(x, list(_PRIMES)), lambda u, v: u + v)).alias("h"))
+        "id", F.aggregate(F.transform(F.filter(F.split("originalText", ""), lambda x: x != ""), EV.code_point), F.array_repeat(lit(0).cast("bigint"), len(_PRIMES)), lambda a, x: F.zip_with(a, EV.code_point_hashes(x, list(_PRIMES)), lambda u, v: u + v)).alias("h"))
     .select("id", *[c("h")[i].alias(f"h{k}") for i, k in enumerate(_PRIMES)]))
 
 _SPANS = r""", prt AS (SELECT id, string_split(regexp_replace(originalText, '(\\\[[\s\S]*?\\\])', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS ps FROM sen WHERE originalText IS NOT NULL),
