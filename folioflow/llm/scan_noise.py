@@ -5,7 +5,8 @@ A word outside the lexicon is looked up in a symmetric-delete index of the lexic
 characters, whatever their length; candidates are weighed by an edit distance in which known misreadings (rn for m, 1 for l,
 ...) cost little, misreadings learned from the corpus a little more, and any other edit one. The context of adjacent words
 decides between candidates; a learned misreading needs a frequent pair on one side, and an edit that nothing explains needs one on
-both. Misreadings are learned from rare words that differ from one far more frequent word in one place inside the word.
+both. Misreadings are learned from all rare words that differ from one far more frequent word in one place inside the word;
+other writings of sound characters (problem 1) teach none.
 Words broken by printed hyphenation are rejoined when the whole word
 is known or its parts are not; page numbers and running heads (lines that are titles of the library) between lines of a
 sentence are taken out; lines are joined to a paragraph, formulas keeping lines of their own.
@@ -16,7 +17,8 @@ frequent words, rows count as delivered.
 
 Scale: the lexicon's size has a bound by construction, since words with at least a share `LEAST_SHARE` of all tokens
 number at most 1 / LEAST_SHARE; the same holds for word pairs. Its index is built once and sent as two arrays of numbers.
-Misreadings are learned from at most LEARN rare words, the first by hash. Words rarer than the share are neither repaired to nor
+Misreadings are learned where the rare words lie; only the counts of the short pieces are shuffled, and only the learned ones
+come to the driver. Words rarer than the share are neither repaired to nor
 protected by the lexicon: they stand as they are unless a misreading of a frequent word explains them. Counting merges inside each task before the shuffle.
 Titles are joined by hash with the few candidate lines, never broadcast by hand. A second pass reads the texts once.
 """
@@ -38,8 +40,8 @@ from folioflow.session import cut
 from folioflow.sources.tables import table
 
 LEAST_SHARE, LEAST_COUNT, RATIO, ACCEPT, ANY = 1e-5, 12, 20, 0.95, 1.0
-LEARN, LEARNED_COST, LEAST_LEARNED = 20_000, 0.45, 5
-FLUSH, MEMO = 300_000, 200_000
+LEARNED_COST, LEAST_LEARNED = 0.45, 5
+FLUSH, MEMO, BLOCK = 300_000, 200_000, 200_000
 
 # What a printed letter is misread as.
 MISREAD = [
@@ -90,6 +92,19 @@ def deletion_hashes(w: str) -> np.ndarray:
     return np.concatenate([p[-1:], one, two])
 
 
+def deletion_hashes_of(words: list[str]) -> np.ndarray:
+    """A row of deletion_hashes for each of some words of one length."""
+    n = len(words[0])
+    powers, i, j = _shape(n)
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n)
+    p = np.zeros((len(words), n + 1), np.uint64)
+    np.cumsum((codes + np.uint64(0x9E3779B97F4A7C15)) * powers, axis=1, out=p[:, 1:])
+    one = p[:, :-1] + (p[:, n:] - p[:, 1:]) * _INV
+    near, far = p[:, 1:] * _INV, p[:, 1:] * _INV2
+    two = (p[:, :-1] - near)[:, i] + ((p[:, :-1] * _INV) - far)[:, j] + p[:, n:] * _INV2
+    return np.concatenate([p[:, n:], one, two], axis=1)
+
+
 class Lexicon:
     """Frequent words with counts, frequent pairs, learned misreadings, and the symmetric-delete index over the words."""
 
@@ -115,20 +130,53 @@ class Lexicon:
         self.keys, self.owners = flat[order], owner[order]
 
     def _learn(self, rare: dict[str, int]) -> None:
-        """Misreadings that many rare words share: one short piece read for another, mostly inside a word (endings that change are
-        grammar), from words that are far more frequent."""
-        seen: dict[tuple[str, str], list[tuple[str, bool]]] = {}
-        for t, n in rare.items():
-            near = {w for w in self._near(t) if self.words[w] >= RATIO * n and w != t}
-            got = {piece for w in near if (piece := one_piece(w, t))}
-            if len(got) == 1:
-                a, b, inside = got.pop()
-                if (a, b) not in _LISTED and same_writing(a, b):
-                    seen.setdefault((a, b), []).append((t, inside))
-        for (a, b), ts in seen.items():
-            words = {t for t, _ in ts}
-            if len(words) >= LEAST_LEARNED and sum(i for _, i in ts) * 4 >= len(ts) * 3:
-                self.learned.setdefault(b[-1], []).append((a, b))
+        """Misreadings that many of the rare words share."""
+        seen: Counter = Counter()
+        within: Counter = Counter()
+        for a, b, inside in self.pieces(rare.items()):
+            seen[a, b] += 1
+            within[a, b] += inside
+        self.learn([(a, b) for (a, b), n in seen.items() if n >= LEAST_LEARNED and within[a, b] * 4 >= n * 3])
+
+    def learn(self, pieces: list[tuple[str, str]]) -> None:
+        for a, b in sorted(pieces):
+            self.learned.setdefault(b[-1], []).append((a, b))
+        self.memo = {}
+
+    def pieces(self, rare) -> list[tuple[str, str, bool]]:
+        """What one_piece gives for each of some rare words (with counts) that may be a misreading of far more frequent words in
+        one way: one short piece read for another, mostly inside a word (endings that change are grammar)."""
+        sizes: dict[int, list[tuple[str, int]]] = {}
+        for t, n in rare:
+            if 3 <= len(t) <= self.longest + 2:
+                sizes.setdefault(len(t), []).append((t, n))
+        out = []
+        for size, some in sizes.items():
+            step = max(1, BLOCK // size**2)
+            for k in range(0, len(some), step):
+                block = some[k : k + step]
+                for (t, n), near in zip(block, self._near_all([t for t, _ in block])):
+                    near = {w for w in near if self.words[w] >= RATIO * n and w != t}
+                    got = {piece for w in near if (piece := one_piece(w, t))}
+                    if len(got) == 1:
+                        a, b, inside = got.pop()
+                        if (a, b) not in _LISTED and same_writing(a, b) and not (not t.isascii() and self.knows(plain(t))):
+                            out.append((a, b, inside))
+        return out
+
+    def _near_all(self, tokens: list[str]) -> list[set[str]]:
+        """_near of each of some tokens of one length."""
+        out: list[set[str]] = [set() for _ in tokens]
+        if len(self.keys):
+            h = deletion_hashes_of(tokens)
+            width = h.shape[1]
+            h = h.ravel()
+            lo = np.searchsorted(self.keys, h)
+            on = np.flatnonzero(self.keys[np.minimum(lo, len(self.keys) - 1)] == h)
+            hi = np.searchsorted(self.keys, h[on], "right")
+            for r, a, z in zip((on // width).tolist(), lo[on].tolist(), hi.tolist()):
+                out[r].update(self.list[i] for i in self.owners[a:z].tolist())
+        return out
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "memo"}
@@ -169,11 +217,7 @@ class Lexicon:
 
     def repair(self, token: str, before: str = "", after: str = "", raw: str = "") -> str | None:
         """The word a token was misread from, or None if the token stands as it is."""
-        core = token
-        if not core.isascii():
-            core = by_character(core)
-            if ODD.search(core):
-                core = TOKEN.sub(lambda m: table_form(m.group()) if in_doubt(m.group()) else m.group(), core)
+        core = token if token.isascii() else plain(token)
         if self.knows(core) or core.isupper() or not any(c.isalpha() for c in core):
             return None
         if core[:1].isdigit() and sum(c.isalpha() for c in core) < 3:
@@ -199,6 +243,12 @@ class Lexicon:
         return ((before, word) in self.pairs) + ((word, after) in self.pairs)
 
 
+def plain(token: str) -> str:
+    """A token with other writings of its characters (problem 1) undone by table."""
+    core = by_character(token)
+    return TOKEN.sub(lambda m: table_form(m.group()) if in_doubt(m.group()) else m.group(), core) if ODD.search(core) else core
+
+
 _BY_OUT: dict[str, list[tuple[str, str]]] = {}
 for _a, _b in MISREAD:
     _BY_OUT.setdefault(_b[-1], []).append((_a, _b))
@@ -311,10 +361,27 @@ def corpus_lexicon(texts: DataFrame, share: float = LEAST_SHARE, least: int = LE
         else:
             pairs[(r.a, r.b)] = r.n
     few = counts.where(F.col("b").isNull() & (F.col("a") != "") & (F.col("n") < max(least, total * share)) & F.col("a").rlike(r"^[\p{L}\p{M}]{4,}$"))
-    n = few.count()
-    h = F.pmod(F.xxhash64("a"), F.lit(1 << 30))
-    part = few.where(h < int(min(1.0, (1.2 * LEARN + 100) / max(n, 1)) * (1 << 30))).orderBy(h, "a").limit(LEARN)
-    return Lexicon(words, pairs, {r.a: r.n for r in part.select("a", "n").collect()})
+    lex = Lexicon(words, pairs)
+    lex.learn(learned_pieces(few.select("a", "n"), lex))
+    return lex
+
+
+def learned_pieces(rare: DataFrame, lex: Lexicon) -> list[tuple[str, str]]:
+    """The misreadings that at least LEAST_LEARNED of all rare words share, most of them inside the word. `rare` has (a, n), a word a row."""
+    sent = rare.sparkSession.sparkContext.broadcast(lex)
+
+    def run(batches):
+        lx, seen, within = sent.value, Counter(), Counter()
+        for batch in batches:
+            for a, b, inside in lx.pieces(zip(*(c.to_pylist() for c in batch.columns))):
+                seen[a, b] += 1
+                within[a, b] += inside
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([a for a, _ in seen], pa.string()), pa.array([b for _, b in seen], pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([within[k] for k in seen], pa.int64())],
+            names=["a", "b", "n", "inside"])
+
+    got = rare.mapInArrow(run, "a string, b string, n bigint, inside bigint").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
+    return [(r.a, r.b) for r in got.where((F.col("n") >= LEAST_LEARNED) & (F.col("inside") * 4 >= F.col("n") * 3)).collect()]
 
 
 # ---------------------------------------------------------------- one text

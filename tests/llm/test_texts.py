@@ -171,6 +171,20 @@ def test_misreadings_are_learned_and_need_context():
     assert lex.repair("numбer", "the", "works") is None and SN.Lexicon({}, {}).repair("word") is None
 
 
+def test_misreadings_are_learned_from_all_rare_words(spark):
+    words = "membrane number remember ambient embedding tumble".split()
+    r = random.Random(4)
+    coined = {"".join(r.choice("aeioukstvz") for _ in range(9)) for _ in range(60_000)}
+    looks = [w.replace("o", "о") for w in "modern corner person common honor motion".split()]  # a Cyrillic letter: problem 1
+    texts = [" ".join(words + "modern corner person common honor motion".split())] * 40 + [w.replace("mb", "rh", 1) for w in words] + looks + sorted(coined)
+    lex = SN.corpus_lexicon(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert lex.learned == {"h": [("mb", "rh")]}
+    some = ["merhrane", "tumbla", "embeding", "x", "qqqq", "rеmember", *sorted(coined)[:50]]
+    for n in {len(w) for w in some} - {1}:
+        block = [w for w in some if len(w) == n]
+        assert lex._near_all(block) == [lex._near(w) for w in block]
+
+
 def test_running_heads_are_titles_of_the_library(spark, tables):
     s = [{"id": "a", "originalText": "the first part of it\nOn a Robust View\ngoes on here."}, {"id": "b", "originalText": "the first part.\nAn other line\ngoes on."}, {"id": "c", "originalText": None}, {"id": "d", "originalText": ""}]
     d = tables(sentences=s + s[:1], library_documents=[{"id": "x", "title": "On a robust view.pdf"}, {"id": "y", "title": None}], ai_correction_reviews=[{"sentenceId": "a", "parsedText": "one two\n[353]\nthree"}])
