@@ -377,8 +377,8 @@ def row_units(text: str, standing: list[int] | None = None, sound: bool = True)
     return [u for _, u in sorted(out) if u]
 
 
-#: JVM filter: a mark with more text after it, or a space between Thai letters; everything else is one unit.
-MAY_DIVIDE = rf"(?s)[{END};\x{{37e}}].*[\p{{L}}\p{{N}}]|[\p{{InThai}})]\s+\S"
+#: JVM filter: a mark with anything after it, or a space behind what may end a Thai sentence; everything else is one unit.
+MAY_DIVIDE = rf"(?s)[{END};\x{{37e}}]\s*\S|^(?=.*\p{{InThai}}).*[\p{{InThai}})”][ \x{{a0}}\x{{3000}}]+\S"
 
 
 def boundary_rows(df: DataFrame, key: str, text: str, sound=None) -> DataFrame:

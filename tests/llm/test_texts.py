@@ -221,6 +221,18 @@ def test_units_of_edge_cases(spark):
     assert [(r.id, r.unit_no, r.unit) for r in SU.unit_rows(d, "id", "t").collect()] == [(1, 0, "A b."), (1, 1, "C d.")]
 
 
+def test_no_row_with_a_boundary_is_dropped_unread(spark, tables):
+    r = random.Random(5)
+    alphabet = "aB1 .!?…。;์กขคง)”“\"'[(%\xa0\u3000ๆฯи！？؟۔।፧፨։။។៕Α;—\U0001f600\u200b\u0301\x1c\x85\r\t"
+    texts = ["“ฉันมา”\u3000เขาไป", "(ฉันมา”\u3000เขาไป", "សួស្តី។ ☺", "صحيح؟ —", *("".join(r.choices(alphabet, k=r.randint(2, 8))) for _ in range(20_000))]
+    want = {(str(i), b) for i, t in enumerate(texts) for b in SU.boundaries(t)}
+    assert {i for i, _ in want} >= {"0", "1", "2", "3"}
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, t string")
+    assert {tuple(x) for x in SU.boundary_rows(rows, "id", "t").collect()} == want
+    d = tables(sentences=[{"id": str(i), "originalText": t} for i, t in enumerate(texts[:4])])
+    assert {tuple(x) for x in SU.p4_found(spark, d).collect()} == {w for w in want if int(w[0]) < 4}
+
+
 # ---------------------------------------------------------------- problem 5
 
 
