@@ -6,21 +6,23 @@ garbled text, and one class is sound text. The chains of a row, and of its stret
 predicted by their scores; only predicted chains are inverted, and one is accepted when the inverse decodes strictly into
 known characters and looks sounder.
 
-The training rows are a bounded sample of the corpus' own rows (`sample`, in the order of a hash of their ids);
-scoring covers every row. The inventory of known characters is taken from all rows: `all_known` adds those that the
-sample lacks or has too seldom. Rows found garbled in a first fit leave the sound class before the second fit.
+The training rows are all of the corpus' own texts, each once: bigrams of sound text, those of every chain, and the thresholds
+are counted over all of them, the scripts of a chain weighing alike. What a chain makes of a text follows from its pairs of
+adjacent characters, or, where the reader takes several bytes as one character, from its words; so pairs and words are counted, and
+garbled once each. The inventory of known characters: `all_known` adds those that the fit has too seldom. Rows found
+garbled in a first fit leave the sound class before the second fit, and so once more.
 
 Null and empty texts and pure ASCII are sound. With fewer than LEAST_ROWS training rows only texts with characters that no
 sound text has are found. Text that lost bytes (U+FFFD) is found but restored only as far as the
 inverse decodes. Redelivered rows count once.
 
-Scale: no shuffle but the distinct of the few found rows, and of the rows with characters that the sample lacks. The model that goes to the workers has a fixed size (classes x
-buckets). A first vectorised pass drops the rows without a suspicious window of bigrams.
+Scale: the texts that are not ASCII are shuffled once to be distinct; of counts, words and pairs merge inside each task before the
+shuffle. To the driver come pairs of characters by script and applicable chains, bounded by the alphabet, and one vector a chain from each
+task. The model that goes to the workers has a fixed size (classes x buckets). A first vectorised pass drops the rows without a suspicious window of bigrams.
 """
 
 from __future__ import annotations
 
-import hashlib
 import unicodedata
 from collections import Counter
 from copy import copy
@@ -33,9 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.same_look import TOKEN, by_character, in_doubt, table_form
+from folioflow.session import cut
 from folioflow.sources.tables import table
 
 KNOWN_ROWS, KNOWN_SHARE = 2, 0.05
+FULL, FLUSH = 9000, 300_000
 SAMPLE, BUCKETS, WINDOW, PER_CLASS, SMOOTH, LEAST_ROWS = 9000, 1 << 16, 6, 120, 0.002, 20
 TOP, TOP_STRETCH, STRETCH_MARGIN, PRIOR = 10, 8, 3.0, 14.0
 READERS = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1256", "cp437", "cp850", "cp866", "koi8_r", "mac_roman", "cp874", "iso8859_15", "gb18030", "cp932", "cp949", "big5", "euc_jp")
@@ -153,6 +157,23 @@ def _changed(text: str, got: str) -> tuple[str, str, str]:
     return text[a : len(text) - z], got[a : len(got) - z], text[:a] + text[len(text) - z :]
 
 
+@lru_cache(maxsize=None)
+def _kind(c: str) -> str:
+    return unicodedata.name(c, "?").split()[0] if c > "\xbf" and c.isalpha() else ""
+
+
+def group_of(text: str) -> str:
+    """The script that most of a text's letters beyond ASCII have."""
+    letters = Counter(k for c in text if c > "\xbf" and (k := _kind(c)))
+    return max(letters, key=letters.get) if letters else "LATIN"
+
+
+def main_groups(sizes: dict[str, int]) -> list[str]:
+    """The scripts that are not rare, or all if all are."""
+    least = max(3, sum(sizes.values()) // 1000)
+    return [g for g, n in sizes.items() if n >= least] or list(sizes)
+
+
 def island(text: str) -> bool:
     """A few East Asian characters alone in a text of ASCII letters."""
     n = len(_EAST.findall(text))
@@ -180,27 +201,33 @@ class Detector:
 
         A bigram that stands in at most `seldom` of the rows (or in one row only) makes a text worth a look.
         """
-        self.known = Counter(c for t in sound for c in set(t) if c > "\x7f")
-        least = max(2, len(sound) // 2000)
-        self.known = {c for c, n in self.known.items() if n >= least}
-        self.groups: dict[str, list[str]] = {}
+        chars = Counter(c for t in sound for c in set(t) if c > "\x7f")
+        groups: dict[str, list[str]] = {}
         for t in sound:
-            letters = Counter(unicodedata.name(c, "?").split()[0] for c in t if c > "\xbf" and c.isalpha())
-            self.groups.setdefault(max(letters, key=letters.get) if letters else "LATIN", []).append(t)
-        big = {k: v for k, v in self.groups.items() if len(v) >= max(3, len(sound) // 1000)}
-        self.groups = big or self.groups
-        per = []
-        for ts in self.groups.values():
-            m = np.bincount(np.concatenate([features(t) for t in ts]), minlength=BUCKETS).astype(np.float64)
-            per.append((m + SMOOTH) / (m.sum() + SMOOTH * BUCKETS))
-        self.per_script = np.ascontiguousarray(np.log(np.array(per)).astype(np.float32).T)
-        self.base = np.log(np.mean(per, axis=0)).astype(np.float32)
+            groups.setdefault(group_of(t), []).append(t)
+        per = {g: (len(ts), np.bincount(np.concatenate([features(t) for t in ts]), minlength=BUCKETS)) for g, ts in groups.items()}
+        self.groups = {g: groups[g] for g in main_groups({g: len(ts) for g, ts in groups.items()})}
         rows = np.bincount(np.concatenate([np.unique(features(t)) for t in sound]), minlength=BUCKETS)
-        self.odds = np.where(rows <= max(1, seldom * len(sound)), 100.0, np.clip(-self.base - 7.0, 0, 6)).astype(np.float32)
-        w = self._windows(sound)
-        self.first = min(float(np.quantile(w, 0.97)), 90.0)
+        self.set_sound(len(sound), chars, per, rows, seldom)
+        self.first = min(float(np.quantile(self._windows(sound), 0.97)), 90.0)
         self.typical = float(np.quantile([self.level(t) for t in sound[:3000]], 0.02))
 
+    def set_sound(self, n: int, chars: dict[str, int], per: dict[str, tuple[int, np.ndarray]], rows: np.ndarray, seldom: float) -> None:
+        """The sound class out of counts over n rows: rows with a character, rows and bigrams of a script, rows with a bigram.
+
+        Beyond FULL rows the counts are scaled to so many, so that smoothing weighs the same however many rows there are.
+        """
+        least = max(2, n // 2000)
+        self.known = {c for c, k in chars.items() if k >= least}
+        scale = min(1.0, FULL / n)
+        per_script = []
+        for g in main_groups({g: k for g, (k, _) in per.items()}):
+            m = per[g][1] * scale
+            per_script.append((m + SMOOTH) / (m.sum() + SMOOTH * BUCKETS))
+        self.per_script = np.ascontiguousarray(np.log(np.array(per_script)).astype(np.float32).T)
+        self.base = np.log(np.mean(per_script, axis=0)).astype(np.float32)
+        self.odds = np.where(rows <= max(1, seldom * n, n / FULL), 100.0, np.clip(-self.base - 7.0, 0, 6)).astype(np.float32)
+
     def fit_chains(self, sound: list[str], per_class: int) -> None:
         """One multinomial per chain, over garbled texts of every script that the chain changes."""
         pool = [t for i in range(per_class) for ts in self.groups.values() for t in ts[i : i + 1]]
@@ -221,6 +248,10 @@ class Detector:
             if n >= 3:
                 keep.append(chain)
                 counts.append(np.bincount(np.concatenate(got), minlength=BUCKETS))
+        self.set_chains(keep, counts)
+
+    def set_chains(self, keep: list[tuple], counts: list[np.ndarray]) -> None:
+        """The multinomials of the chains out of the counts of their bigrams."""
         self.classes = keep
         m = np.array(counts, np.float64).reshape(-1, BUCKETS)
         w = np.log((m + SMOOTH) / (m.sum(1, keepdims=True) + SMOOTH * BUCKETS)).astype(np.float32)
@@ -461,7 +492,7 @@ _FITTED: dict[str, Detector] = {}
 
 
 def training_texts(rows: DataFrame, key: str, text: str, sample: int = SAMPLE) -> list[str]:
-    """A bounded sample of non-ASCII rows for the classifier, the first `sample` by a hash of their keys.
+    """A bounded sample of non-ASCII rows, the first `sample` by a hash of their keys, for trials; no query fits on it.
 
     A count of the rows sets the share of hashes that is looked at, so that no more than about twice the sample is gathered
     however many tasks there are.
@@ -473,6 +504,242 @@ def training_texts(rows: DataFrame, key: str, text: str, sample: int = SAMPLE) -
     return [r.t for r in odd.where(F.col("h") < share).orderBy("h", "t").limit(sample).collect()]
 
 
+# ---------------------------------------------------------------- the fit over all rows
+
+
+_ORDER = chains()
+_WHOLE = sum(1 << i for i, c in enumerate(_ORDER) if c[0][1] in MULTI)  # chains whose reader takes several bytes as one character
+
+
+@lru_cache(maxsize=None)
+def _bits(c: str) -> tuple[int, int]:
+    """(chains that can write a character, chains that change it), as bits in the order of chains()."""
+    raws = {a: written(c, a) for a in ("utf-8", *LEGACY)}
+    can = change = 0
+    for i, chain in enumerate(_ORDER):
+        a, b = chain[0]
+        if (raw := raws[a]) is not None:
+            can |= 1 << i
+            if b in MULTI or len(raw) > 1 or byte_table(b)[0][raw[0]] != c:
+                change |= 1 << i
+    return can, change
+
+
+def applicable(text: str) -> int:
+    """The chains that can garble a text, as bits."""
+    can, change = (1 << len(_ORDER)) - 1, 0
+    for c in set(text):
+        if c > "\x7f":
+            x, y = _bits(c)
+            can &= x
+            change |= y
+    return can & change
+
+
+def text_counts(texts: DataFrame) -> DataFrame:
+    """(part, a, b, c, n): what the fit counts over all texts (t).
+
+    `rows` by script and chains; `char` rows with a character; `seen` rows with a bucket of bigrams; `pair` adjacent characters, one of them
+    not ASCII, by script and chains; `word` words that are not ASCII, by script and those chains whose readers need whole words.
+    """
+
+    def run(batches):
+        one: Counter = Counter()
+        pairs: dict[tuple[str, int], Counter] = {}
+
+        def out():
+            rows = [(*k, n) for k, n in one.items()]
+            rows += [("pair", g, f"{m:x}", p, n) for (g, m), ps in pairs.items() for p, n in ps.items() if not p.isascii()]
+            one.clear()
+            pairs.clear()
+            cols = list(zip(*rows)) or [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, [pa.string()] * 4 + [pa.int64()])], names=["part", "a", "b", "c", "n"])
+
+        for batch in batches:
+            ts = batch.column(0).to_pylist()
+            for t in ts:
+                g, m = group_of(t), applicable(t)
+                one["rows", g, f"{m:x}", ""] += 1
+                w = f"{m & _WHOLE:x}"
+                one.update([("char", c, "", "") for c in set(t) if c > "\x7f"])
+                one.update([("word", g, w, x) for x in t.split(" ") if not x.isascii()])
+                pad = f" {t} "
+                pairs.setdefault((g, m), Counter()).update(map(str.__add__, pad, pad[1:]))
+            idx, on, owner = joined_bigrams(ts)
+            k, n = np.unique(np.unique(owner[on].astype(np.int64) << 16 | idx[on]) & 0xFFFF, return_counts=True)
+            for x, y in zip(k.tolist(), n.tolist()):
+                one["seen", str(x), "", ""] += y
+            if len(one) + sum(map(len, pairs.values())) > FLUSH:
+                yield out()
+        yield out()
+
+    return texts.mapInArrow(run, "part string, a string, b string, c string, n bigint").groupBy("part", "a", "b", "c").agg(F.sum("n").alias("n"))
+
+
+def joined_bigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """features of many texts at once: bucket, whether it counts, and number of its text for each adjacent byte pair."""
+    raws = [f" {t} ".encode("utf-8", "surrogatepass") for t in texts]
+    idx, on = bigrams(np.frombuffer(b"".join(raws) + b" ", np.uint8))
+    return idx, on, np.repeat(np.arange(len(raws)), [len(r) for r in raws])
+
+
+def quotas(sizes: dict[str, int], per_class: int = PER_CLASS) -> dict[str, float]:
+    """The weight of a row of each script in a class: all scripts weigh alike, together as much as per_class rows, but no row more than
+    one."""
+    left, out = float(per_class), {}
+    for i, (g, n) in enumerate(sorted(sizes.items(), key=lambda x: x[1])):
+        part = min(n, left / (len(sizes) - i))
+        out[g] = part / n
+        left -= part
+    return out
+
+
+def pair_vector(chain, chars: list[str], first: np.ndarray, last: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Counts of the bigrams that a chain makes of weighted pairs of adjacent characters (numbers in `chars`); what lies inside a
+    character is counted with the pair that it is the first of."""
+    on = np.flatnonzero(weight)
+    first, last, weight = first[on], last[on], weight[on]
+    used = np.unique(np.concatenate([first, last]))
+    made = [(garble(chars[c], chain) if chain else chars[c]).encode("utf-8", "surrogatepass") for c in used.tolist()]
+    sizes = np.array([len(x) for x in made], np.int64)
+    raw = np.frombuffer(b"".join(made) + b" ", np.uint8)
+    ends = np.cumsum(sizes)
+    first, last = np.searchsorted(used, first), np.searchsorted(used, last)
+    own = np.repeat(np.bincount(first, weight, len(used)), sizes)
+    own[ends - 1] = 0  # from one character's bytes to the next one's
+    idx, wide = bigrams(raw)
+    out = np.bincount(idx[wide], own[wide], BUCKETS)
+    idx, wide = bigrams(np.stack([raw[ends - 1][first], raw[ends - sizes][last]], 1).ravel())
+    idx, wide = idx[::2], wide[::2]
+    return out + np.bincount(idx[wide], weight[wide], BUCKETS)
+
+
+def word_vectors(words: DataFrame, weights: dict[int, dict[str, float]]) -> dict[int, np.ndarray]:
+    """Counts of the bigrams that each of the chains in `weights` (chain -> script -> weight of a row) makes of the words (a, b, c, n)."""
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            gs, ms, ws, ns = (c.to_pylist() for c in batch.columns)
+            ms, ns = [int(m, 16) for m in ms], np.array(ns, np.float64)
+            for i, per in weights.items():
+                on = [k for k, m in enumerate(ms) if m >> i & 1 and gs[k] in per]
+                if on:
+                    (a, b), = _ORDER[i]
+                    raw = read_as(f" {'  '.join(ws[k] for k in on)} ".encode(a), b).encode("utf-8", "surrogatepass")
+                    raw = np.frombuffer(raw, np.uint8)
+                    idx, wide = bigrams(raw)
+                    blank = raw == 32
+                    # every word has a space of its own on both sides
+                    w = np.array([per[gs[k]] for k in on]) * ns[on]
+                    own = w[np.minimum((np.cumsum(blank)[:-1] - 1) // 2, len(on) - 1)]
+                    total[i] = total.get(i, 0) + np.bincount(idx[wide], own[wide], BUCKETS)
+        live = {i: np.flatnonzero(v) for i, v in total.items()}
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array([live[i].astype(np.int32).tobytes() for i in total], pa.binary()), pa.array([total[i][live[i]].astype(np.float32).tobytes() for i in total], pa.binary())],
+            names=["i", "k", "w"])
+
+    out: dict[int, np.ndarray] = {}
+    for r in words.mapInArrow(run, "i int, k binary, w binary").toLocalIterator():
+        out.setdefault(r.i, np.zeros(BUCKETS))[np.frombuffer(r.k, np.int32)] += np.frombuffer(r.w, np.float32)
+    return out
+
+
+def level_counts(texts: DataFrame, det: Detector) -> tuple[float, float]:
+    """(first, typical) over all texts: quantiles of the windows' sums and of the levels, to a hundredth and a thousandth."""
+    sent = texts.sparkSession.sparkContext.broadcast(det)
+
+    def run(batches):
+        d, seen = sent.value, Counter()
+        for ts in (b.column(0)[k : k + 2000].to_pylist() for b in batches for k in range(0, b.num_rows, 2000)):
+            seen.update(("w", int(x)) for x in np.rint(d._windows(ts) * 100).tolist())
+            idx, on, owner = joined_bigrams(ts)
+            n = np.bincount(owner[on], minlength=len(ts))
+            ends = np.concatenate([[0], np.cumsum(n)])[:-1]
+            level = np.add.reduceat(d.per_script[idx[on]], ends[n > 0], axis=0, dtype=np.float64).max(1) / n[n > 0] if n.any() else np.zeros(0)
+            seen.update(("l", int(x)) for x in np.rint(level * 1000).tolist())
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([x for _, x in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["k", "x", "n"])
+
+    got: dict[str, list] = {"w": [], "l": []}
+    for r in texts.mapInArrow(run, "k string, x bigint, n bigint").groupBy("k", "x").agg(F.sum("n").alias("n")).collect():
+        got[r.k].append((r.x, r.n))
+    sent.destroy()
+    out = []
+    for k, q, unit in (("w", 0.97, 100), ("l", 0.02, 1000)):
+        x, n = np.array(sorted(got[k])).T
+        out.append(float(x[np.searchsorted(np.cumsum(n), q * (n.sum() - 1) + 1)]) / unit)
+    return min(out[0], 90.0), out[1]
+
+
+def fit_once(texts: DataFrame, seldom: float) -> Detector:
+    """A detector whose counts and thresholds are of all of the texts (t), all taken for sound."""
+    counts = cut(text_counts(texts))
+    got: dict[str, list] = {k: [] for k in ("rows", "char", "seen", "pair")}
+    for r in counts.where("part <> 'word'").toLocalIterator():
+        got[r.part].append(r[1:])
+    det = Detector([])
+    n = sum(r[-1] for r in got["rows"])
+    if n < LEAST_ROWS:
+        return det
+    det.fitted = True
+    by_mask = sorted((g, int(m, 16), k) for g, m, _, k in got["rows"])
+    place = {(g, m): i for i, (g, m, _) in enumerate(by_mask)}
+    pairs = sorted({r[2] for r in got["pair"]})
+    at = {p: i for i, p in enumerate(pairs)}
+    mask_of = np.array([place[r[0], int(r[1], 16)] for r in got["pair"]], np.int32)
+    pair_of = np.array([at[r[2]] for r in got["pair"]], np.int32)
+    many = np.array([r[3] for r in got["pair"]], np.float64)
+    chars = sorted({c for p in pairs for c in p})
+    number = {c: i for i, c in enumerate(chars)}
+    first, last = (np.array([number[p[k]] for p in pairs], np.int64) for k in (0, 1))
+    del got["pair"]
+
+    def weighed(per_mask) -> np.ndarray:
+        return np.bincount(pair_of, np.array(per_mask, np.float64)[mask_of] * many, len(pairs))
+
+    sizes: dict[str, int] = {}
+    for g, _, k in by_mask:
+        sizes[g] = sizes.get(g, 0) + k
+    per = {g: (k, pair_vector((), chars, first, last, weighed([float(h == g) for h, _, _ in by_mask]))) for g, k in sizes.items()}
+    rows = np.zeros(BUCKETS)
+    for b, _, _, k in got["seen"]:
+        rows[int(b)] = k
+    det.set_sound(n, {c: k for c, _, _, k in got["char"]}, per, rows, seldom)
+    det.first, det.typical = level_counts(texts, det)
+    main, weights = set(main_groups(sizes)), {}
+    for i in range(len(_ORDER)):
+        on: Counter = Counter()
+        for g, m, k in by_mask:
+            if m >> i & 1 and g in main:
+                on[g] += k
+        if sum(on.values()) >= 3:
+            weights[i] = quotas(on)
+    vectors = word_vectors(counts.where("part = 'word'").select("a", "b", "c", "n"), {i: w for i, w in weights.items() if _WHOLE >> i & 1})
+    for i, w in weights.items():
+        if not _WHOLE >> i & 1:
+            vectors[i] = pair_vector(_ORDER[i], chars, first, last, weighed([w.get(g, 0.0) if m >> i & 1 else 0.0 for g, m, _ in by_mask]))
+    keep = [i for i in weights if i in vectors]
+    det.set_chains([_ORDER[i] for i in keep], [vectors[i] for i in keep])
+    return det
+
+
+def fit_all(texts: DataFrame) -> Detector:
+    """The detector of all texts (t): those that a fit finds garbled are left out of the next one."""
+    sound = texts
+    for seldom in (0.004, 0.004, 0.0):
+        det = fit_once(sound, seldom)
+        if seldom and det.fitted:
+            sent = texts.sparkSession.sparkContext.broadcast(det)
+
+            def run(batches, sent=sent):
+                for batch in batches:
+                    yield batch.filter(pa.array(sent.value.sound(batch.column(0).to_pylist()), pa.bool_()))
+
+            sound = cut(sound.mapInArrow(run, "t string"))
+            sent.destroy()
+    return det
+
+
 def all_known(rows: DataFrame, key: str, text: str, detector: Detector) -> set[str]:
     """The detector's known characters and those that the rest of the rows adds.
 
@@ -494,18 +761,21 @@ def all_known(rows: DataFrame, key: str, text: str, detector: Detector) -> set[s
 
     new = rows.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(key).cast("string"), text).mapInArrow(run, "k string, c string, bad boolean").distinct()
     counts = new.groupBy("c").agg(F.count("*").alias("n"), F.count_if(~F.col("bad")).alias("sound"))
-    return detector.known | {r.c for r in counts.where((F.col("sound") >= KNOWN_ROWS) & (F.col("sound") >= KNOWN_SHARE * F.col("n"))).collect()}
+    got = {r.c for r in counts.where((F.col("sound") >= KNOWN_ROWS) & (F.col("sound") >= KNOWN_SHARE * F.col("n"))).collect()}
+    sent.destroy()
+    return detector.known | got
 
 
-def fitted_detector(spark: SparkSession, d: str, sample: int = SAMPLE) -> Detector:
-    """The detector fitted on the sentences table of a folder. The fit is kept under a digest of its sample; the known characters
+def fitted_detector(spark: SparkSession, d: str) -> Detector:
+    """The detector fitted on the sentences table of a folder. The fit is kept under a digest of its texts; the known characters
     are always those of the rows as they are now."""
     rows = table(spark, d, "sentences")
-    texts = training_texts(rows, "id", "originalText", sample)
-    digest = hashlib.sha256("\0".join(texts).encode("utf-8", "surrogatepass")).hexdigest()
+    texts = cut(rows.select(F.col("originalText").alias("t")).where(F.col("t").rlike(r"[^\x00-\x7f]") & ~F.col("t").rlike(r"[\x{80}-\x{84}\x{86}-\x{9f}\x{e000}-\x{f8ff}\x{fffd}]")).distinct())
+    h = F.xxhash64("t")
+    digest = str(tuple(texts.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31))), F.sum(F.length("t"))).first()))
     if digest not in _FITTED:
         _FITTED.clear()
-        _FITTED[digest] = Detector(texts)
+        _FITTED[digest] = fit_all(texts)
     det = copy(_FITTED[digest])
     if det.fitted:
         det.known = all_known(rows, "id", "originalText", det)

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,6 +272,33 @@ def test_known_characters_come_from_all_rows(spark):
     assert letters - few.known and few.known <= got and not letters - got
 
 
+def test_the_classifier_is_fitted_on_all_rows(spark, tables):
+    r = random.Random(6)
+    words = {"LATIN": "für größer é5é5 naïve œuvre “done” café— 50€".split(), "CYRILLIC": "модель точка №7 окно шум,да".split(), "CJK": "模型的误差 数据。很小 参见图10 句子".split()}
+    texts = sorted({" ".join(["ab", *r.choices(words[g], k=r.randint(1, 6)), "cd"]) for g in ("LATIN", "LATIN", "CYRILLIC", "CJK") for _ in range(6000)})
+    assert len(texts) > 10_000
+    det = WE.fitted_detector(spark, tables(sentences=[{"id": str(i), "originalText": t} for i, t in enumerate(texts)]))
+    sound = [t for t in texts if WE._WIDE.search(t)]
+    groups = {g: [t for t in sound if WE.group_of(t) == g] for g in sorted({WE.group_of(t) for t in sound})}
+    one = WE.fit_once(spark.createDataFrame([(t,) for t in sound], "t string"), 0.0)
+    share = [x / x.sum() for ts in groups.values() for x in [np.bincount(np.concatenate([WE.features(t) for t in ts]), minlength=WE.BUCKETS)]]
+    assert det.fitted and one.per_script.shape[1] == len(groups)
+    for x in share:
+        assert any(np.allclose(x[x > 1e-3], np.exp(c.astype(float))[x > 1e-3], rtol=0.01) for c in one.per_script.T)
+    # a class is what the chain makes of all texts that it can garble, scripts alike
+    for chain in [(("utf-8", "cp1252"),), (("utf-8", "gb18030"),), (("cp1252", "cp1251"),), (("cp1251", "cp949"),), (("gb18030", "latin-1"),), (("utf-8", "latin-1"), ("utf-8", "cp1252"))]:
+        want, able = np.zeros(WE.BUCKETS), {}
+        for g, ts in groups.items():
+            able[g] = [x for t in ts if (x := WE.garble(t, chain)) is not None and x != t]
+        able = {g: x for g, x in able.items() if x}
+        for g, w in WE.quotas({g: len(x) for g, x in able.items()}).items():
+            want += w * np.bincount(np.concatenate([WE.features(x) for x in able[g]]), minlength=WE.BUCKETS)
+        got = np.exp(one.weights[one.column, one.classes.index(chain)].astype(float))
+        want += WE.SMOOTH
+        live = want > 0.01 * want.max()
+        assert np.allclose(got[live], want[live] / want.sum(), rtol=0.01), chain
+
+
 def test_chains_invert_strictly():
     for c in ((("utf-8", "cp1252"),), (("cp1251", "koi8_r"),), (("utf-8", "latin-1"), ("utf-8", "latin-1"))):
         t = "Модель"
