@@ -299,6 +299,44 @@ def test_the_classifier_is_fitted_on_all_rows(spark, tables):
         assert np.allclose(got[live], want[live] / want.sum(), rtol=0.01), chain
 
 
+def test_few_sound_texts_are_judged_one_by_one(monkeypatch):
+    r = random.Random(8)
+    words = {"LATIN": "für größer naïve œuvre “done” café— 50€ à « déjà »".split(), "CYRILLIC": "модель точка №7 окно шум,да рапира".split(), "CJK": "模型的误差 数据。很小 参见图10 句子é".split(), "THAI": "โมเดล ข้อผิดพลาด ตัวอย่าง".split()}
+    sound = sorted({" ".join(["ab", *r.choices(words[g], k=r.randint(1, 6)), "cd\n"]) for g in words for _ in range(400)})
+    chains = [(("utf-8", "cp1252"),), (("utf-8", "cp866"),), (("cp1251", "latin-1"),), (("utf-8", "gb18030"),), (("utf-8", "cp1252"),) * 2]
+    texts = [*sound, *{x for t in sound[::9] for c in chains if (x := WE.garble(t, c)) is not None}, "plain", "", "a 模 b" + " c" * 30, "\x85é", "x é" * 20_000]
+    det = WE.Detector(sound)
+    det.first = 0.0  # every text is looked at
+    want = [(i, j) for i, t in enumerate(texts) if not t.isascii() and (j := det.judge(t))[0]]
+    calls, judge = [], WE.Detector.judge
+    monkeypatch.setattr(WE.Detector, "judge", lambda self, t: calls.append(t) or judge(self, t))
+    assert [i for i, bad in enumerate(det.flags(texts)) if bad] == [i for i, _ in want] and len(want) > 100
+    assert len(set(calls) & set(sound)) < 0.1 * len(sound)
+    assert det.found(texts) == want
+    t, start, a, z, _ = det._spans(sound)
+    got: dict = {}
+    for i, x, y in zip(t.tolist(), (a - start).tolist(), (z - start).tolist()):
+        got.setdefault(i, {})[x, y] = None
+    assert {i: list(v) for i, v in got.items()} == {i: p for i, x in enumerate(sound) if (p := det._parts(x))}
+
+
+def test_counts_of_left_out_texts_are_taken_off(spark):
+    r = random.Random(9)
+    words = "für größer “done” café— модель точка №7 окно 模型的误差 参见图10 ·5·6 ▒1".split()
+    texts = sorted({x for _ in range(900) if not (x := " ".join(["ab", *r.choices(words, k=r.randint(1, 6))])).isascii()})
+    of = lambda ts: WE.Counts(spark.createDataFrame([(t,) for t in ts], "t string"))
+    got, want = of(texts), of(texts[::3])
+    got.take_off(of([t for i, t in enumerate(texts) if i % 3]))
+    masks = {(g, m): n for t in texts[::3] for g, m in [(WE.group_of(t), WE.applicable(t))] for n in [0]}
+    for t in texts[::3]:
+        masks[WE.group_of(t), WE.applicable(t)] += 1
+    assert got.rows == want.rows == masks and got.chars == want.chars and (got.seen == want.seen).all()
+    pairs = lambda c: {(list(c.masks)[k >> 42], k & (1 << 42) - 1): n for k, n in zip(*(x.tolist() for x in c.pairs))}
+    assert pairs(got) == pairs(want)
+    full = lambda c: {k: dict(zip(b.tolist(), n.tolist())) for k, (b, n) in c.words.items() if len(b)}
+    assert full(got) == full(want)
+
+
 def test_chains_invert_strictly():
     for c in ((("utf-8", "cp1252"),), (("cp1251", "koi8_r"),), (("utf-8", "latin-1"), ("utf-8", "latin-1"))):
         t = "Модель"
