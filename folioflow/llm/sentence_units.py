@@ -22,13 +22,14 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import accumulate
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.sources.tables import table
@@ -378,7 +379,15 @@ def row_units(text: str, standing: list[int] | None = None, sound: bool = True)
 
 
 #: JVM filter: a mark with anything after it, or a space behind what may end a Thai sentence; everything else is one unit.
-MAY_DIVIDE = rf"(?s)[{END};\x{{37e}}]\s*\S|^(?=.*\p{{InThai}}).*[\p{{InThai}})”][ \x{{a0}}\x{{3000}}]+\S"
+MARKS = END + ";\u037e"
+MARKED, THAI, THAI_END = r"[{}]\s*\S", r"\p{InThai}", r"[\p{InThai})”][ \x{a0}\x{3000}]+\S"
+
+
+def may_divide(text: str) -> Column:
+    """Whether a text may have a boundary. A class of marks beyond ASCII is slow, so it is sought only where one of them stands."""
+    t, far = F.col(text), [c for c in MARKS if not c.isascii()]
+    near = t.rlike(MARKED.format("".join(c for c in MARKS if c.isascii())))
+    return near | (reduce(or_, map(t.contains, far)) & t.rlike(MARKED.format("".join(far)))) | (t.rlike(THAI) & t.rlike(THAI_END))
 
 
 def boundary_rows(df: DataFrame, key: str, text: str, sound=None) -> DataFrame:
@@ -395,7 +404,7 @@ def boundary_rows(df: DataFrame, key: str, text: str, sound=None) -> DataFrame:
                 names=["k", "next_start"])
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(MAY_DIVIDE))
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(may_divide("t"))
     return rows.mapInArrow(run, f"k {kind}, next_start int").withColumnRenamed("k", key)
 
 

@@ -987,12 +987,13 @@ def level_counts(texts: DataFrame, det: Detector) -> tuple[float, float]:
 
     def run(batches):
         d, seen = sent.value, Counter()
+        per_script = d.per_script.astype(np.float64)
         for ts in (b.column(0)[k : k + 2000].to_pylist() for b in batches for k in range(0, b.num_rows, 2000)):
             seen.update(("w", int(x)) for x in np.rint(d._windows(ts) * 100).tolist())
             idx, on, owner = joined_bigrams(ts)
             n = np.bincount(owner[on], minlength=len(ts))
             ends = np.concatenate([[0], np.cumsum(n)])[:-1]
-            level = np.add.reduceat(d.per_script[idx[on]], ends[n > 0], axis=0, dtype=np.float64).max(1) / n[n > 0] if n.any() else np.zeros(0)
+            level = np.add.reduceat(per_script[idx[on]], ends[n > 0], axis=0).max(1) / n[n > 0] if n.any() else np.zeros(0)
             seen.update(("l", int(x)) for x in np.rint(level * 1000).tolist())
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([x for _, x in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["k", "x", "n"])
 

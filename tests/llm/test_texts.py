@@ -234,6 +234,16 @@ def test_no_row_with_a_boundary_is_dropped_unread(spark, tables):
     assert {tuple(x) for x in SU.p4_found(spark, d).collect()} == {w for w in want if int(w[0]) < 4}
 
 
+def test_the_filter_before_python_keeps_the_rows_it_kept(spark):
+    r = random.Random(7)
+    alphabet = SU.END + "aB1 ;\u037eกข)” \xa0\u3000ии模\n\r\t\x1c\x85"
+    texts = ["".join(r.choices(alphabet, weights=[1 if c in SU.MARKS else 4 for c in alphabet], k=r.randint(1, 9))) for _ in range(20_000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    one = rf"(?s)[{SU.END};\x{{37e}}]\s*\S|^(?=.*\p{{InThai}}).*[\p{{InThai}})”][ \x{{a0}}\x{{3000}}]+\S"
+    got = [tuple(x) for x in rows.select(SU.may_divide("t").alias("new"), rows.t.rlike(one).alias("one")).collect()]
+    assert all(a == b for a, b in got) and 1000 < sum(a for a, _ in got) < 19_000
+
+
 # ---------------------------------------------------------------- problem 5
 
 
